@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigram.llm import chat_format, kd_sharding, robust_outliers, simhash_tiles
+from lexigram.llm import chat_format, credential_links, kd_sharding, robust_outliers, simhash_tiles, token_binary
 from lexigram.llm.common import table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.robust_outliers(table(spark, sf_dir, "documents"))
 
 
+def op3_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credential_links.scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(credential_links.spans_text(F.col("strong")), 256).alias("base_sha256"),
+        credential_links.spans_text(F.concat("strong", "linked")).alias("spans"),
+    )
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "<|im_end|><|im_start|>assistant ok"
@@ -29,6 +48,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_binary(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = token_binary.new_path(spark)
+    token_binary.write(table(spark, sf_dir, "documents"), vocabulary or _vocabulary("byte_bpe_50k.json"), path)
+    return token_binary.read(spark, path)
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = kd_sharding.kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -40,7 +65,9 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op3_credential_links": op3_credential_links,
     "op4_chat_format": op4_chat_format,
+    "op6_token_binary": op6_token_binary,
     "op7_kd_sharding": op7_kd_sharding,
     "op10_simhash_tiles": op10_simhash_tiles,
 }

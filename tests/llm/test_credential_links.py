@@ -1,0 +1,81 @@
+import re
+
+from lexigram.llm import credential_links as cl
+
+CONTRACT = {
+    "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6),
+    "access": (re.compile("AKIA[A-Z0-9]+"), 0, 20),
+    "hex": (re.compile("[0-9a-f]+"), 0, 24),
+}
+
+
+def slow(text):
+    out = []
+    for i, (kind, (pattern, group, least)) in enumerate(CONTRACT.items()):
+        out += [(m.start(), i, m.end(), kind) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    return [(k, s, e) for s, _, e, k in sorted(out)]
+
+
+H = "0123456789abcdef" * 3
+TEXTS = [
+    None, "", "nothing here", f"token = \"{H}\"", "PassWord: hunter22", "token=token: abcdefgh", "api_key='short'", "AKIA" + "A" * 15, "AKIA" + "B" * 16, "AKIAAKIA" + "Z" * 12,
+    "é" * 10 + "secret = '" + "x" * 6, "apikey:==ab.c-d_", H[:23] + " " + H[:24] + "G" + H, "ſecret=abcdefgh toKen=abcdefgh", "secret   :   \"" + "q" * 50000, "token\n= abcdefgh", "passwd" * 50 + "=abcdef",
+]
+KEY = "Ab1" * 13 + "x"
+
+
+def test_strong_spans_equal_the_contract():
+    for t in TEXTS:
+        assert cl.strong_spans(t or "") == slow(t), t
+
+
+def test_links_need_complementary_parts(spark):
+    access = "AKIA" + "C" * 16
+    rows = [
+        (1, KEY, []),
+        (2, f"{access} {KEY}", ["key"]),
+        (3, f"{access} {'x ' * 150}{KEY}", []),
+        (4, f"user: bob99 then {KEY}", ["key", "login"]),
+        (5, "user: bob99 alone", []),
+        (6, "https://bob:hunter2@db.example/x", ["login", "userinfo"]),
+        (7, "https://db.example/x", []),
+        (8, f"user: bob99 {access} token={H}", ["login"]),
+        (9, None, []),
+        (9, f"{KEY} {access}", ["key"]),
+        (None, f"{KEY} {access}", ["key"]),
+    ]
+    df = spark.createDataFrame([(i, t, "c") for i, t, _ in rows], "doc_id long, text string, row string")
+    got = cl.scan(df).select("doc_id", "strong", "linked", cl.spans_text(cl.F.concat("strong", "linked")).alias("spans")).collect()
+    have = sorted((str(r["doc_id"]), sorted({s["kind"] for s in r["linked"]})) for r in got)
+    assert have == sorted((str(i), k) for i, _, k in rows)
+    for r in got:
+        starts = [int(s.split(":")[1]) for s in r["spans"].split(",") if s]
+        assert starts == sorted(starts)
+
+
+def test_interval_join_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = [(r, rng.choice("ab"), s, s + rng.randint(1, 90)) for r in range(5) for s in (rng.randint(0, 900) for _ in range(30))]
+    df = spark.createDataFrame(parts, "row long, kind string, start int, end int")
+    got = {tuple(r) for r in cl._within(df.where("kind = 'a'"), df.where("kind = 'b'"), 40).select("row", "kind", "start", "end").collect()}
+    want = {p for p in parts if p[1] == "a" and any(q[1] == "b" and q[0] == p[0] and p[2] < q[3] + 40 and q[2] - 40 < p[3] for q in parts)}
+    assert got == want
+
+
+def test_redact(spark):
+    rows = [(i, t, "c") for i, t in enumerate(TEXTS)] + [(99, f"é {KEY} AKIA{'D' * 16}.", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = {r["doc_id"]: r for r in cl.redact(df).collect()}
+    assert got[99]["text"] == "é [secret] [secret]." and got[0]["text"] is None and got[99]["row"] == "c"
+    for i, t, _ in rows[:-1]:
+        if not slow(t):
+            assert got[i]["text"] == t
+        else:
+            assert not slow(got[i]["text"]) and "[secret]" in got[i]["text"]
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert cl.scan(df).collect() == [] and cl.redact(df).collect() == []
