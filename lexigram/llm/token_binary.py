@@ -21,7 +21,6 @@ own; an empty table gives no image.  Other columns are never read.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -33,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigram.llm.common import id_and_text, shared_dir, slices
+from lexigram.llm import bytewords as bw
+from lexigram.llm.common import id_and_text, shared_dir, slices, text_buffer
 
 END_ID = 2
 #: Ids in an image at most, unless a single document has more.
@@ -139,8 +139,25 @@ class Image:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
-_TWO_SPACES = re.compile(r"\s\s")
-_UNITS = re.compile(r"\n| ?[^ \n]+| ")
+def _odd_texts(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Texts with two white-space characters side by side, or one that isn't ASCII or is a separator control."""
+    n = len(buf)
+    bad = np.zeros(n, bool)
+    space = bw.IS_SPACE[buf]
+    bad[1:] = space[1:] & space[:-1]
+    bad |= (buf >= 0x1C) & (buf <= 0x1F)
+    # UTF-8 of the other white space of Unicode (fixed values): 0085 00A0 1680 2000-200A 2028 2029 202F 205F 3000
+    tail = np.r_[buf, np.zeros(2, np.uint8)]
+    for lead, second, thirds in ((0xC2, (0x85, 0xA0), None), (0xE1, (0x9A,), (0x80,)), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,))):
+        i = np.flatnonzero(buf == lead)
+        i = i[np.isin(tail[i + 1], second)]
+        if thirds:
+            i = i[np.isin(tail[i + 2], thirds)]
+        bad[i] = True
+    first = at[:-1]
+    first = first[first < n]
+    bad[first] &= ~space[first] | (buf[first] >= 0x1C) & (buf[first] <= 0x1F)
+    return bw.per_text(bad, at) > 0
 
 
 #: How a byte-level vocabulary writes a space, and pieces that are encoded in one text.
@@ -152,12 +169,13 @@ class Encoder:
     """Ids of many texts by a byte-level BPE of the tokenizers library.
 
     The vocabulary's own splitting rule never joins text across a single space or line feed
-    between visible characters, so each such piece is encoded once and its ids are reused.
-    Texts with white space of two or more characters are encoded whole.  The pieces kept
-    from earlier texts are bounded by ``keep``.
+    between visible characters, so each such piece is encoded once and its ids are reused,
+    found again by a 64-bit hash of its bytes and length.  Texts with white space of two or
+    more characters, or other than ASCII, are encoded whole.  Pieces kept from earlier texts
+    are bounded by ``keep``.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 3_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -172,8 +190,8 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Known pieces: ascending hashes, and where in ``flat`` the ids of each are."""
+        self.seen, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -196,25 +214,19 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate(found), np.concatenate(sizes)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces not seen yet; a final point or comma is a piece of its own after a letter."""
-        seen = self.seen
-        new = [p for p in dict.fromkeys(pieces) if p not in seen]
-        if not new:
-            return
-        if len(seen) + len(new) > self.keep:
-            self._reset()
-            seen, new = self.seen, list(dict.fromkeys(pieces))
+    def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces; a final point or comma is a piece of its own after a letter."""
         tail = np.fromiter((self.tails[p[-1]] if len(p) > 1 and p[-1] in ".," and p[-2].isalpha() else -1 for p in new), np.int64, len(new))
         stems = [p[:-1] if t >= 0 else p for p, t in zip(new, tail.tolist(), strict=True)]
         spaced, bare, odd = [], [], []
         for s in dict.fromkeys(stems):
-            if len(s.split()) != 1 or s[0] != " " and s[0].isspace():
+            words = s.split()
+            if len(words) != 1:
                 odd.append(s)
-            elif s[0] == " ":
-                spaced.append(s)
+            elif words[0] == s:
+                bare.append(s)
             else:
-                (bare if s.split()[0] == s else odd).append(s)
+                (spaced if len(s) == len(words[0]) + 1 and s[0] == " " else odd).append(s)
         alone = self._whole(odd)
         parts = [self._joined(spaced, "", self.begins), self._joined(bare, "\n", self.line)]
         parts.append((np.array([i for r in alone for i in r], np.uint32), np.fromiter(map(len, alone), np.int64, len(odd))))
@@ -223,43 +235,67 @@ class Encoder:
         if len(size) != len(order):
             raise RuntimeError("the vocabulary joined pieces across white space")
         at = np.fromiter(map(order.__getitem__, stems), np.int64, len(stems))
-        first = np.cumsum(size) - size
-        sizes = size[at] + (tail >= 0)
-        begins = np.cumsum(sizes) - sizes
+        first, n = np.cumsum(size) - size, size[at]
+        sizes = n + (tail >= 0)
+        ends = np.cumsum(sizes)
         rows = np.empty(int(sizes.sum()), np.uint32)
         stem = np.ones(len(rows), bool)
-        stem[(begins + sizes - 1)[tail >= 0]] = False
+        stem[ends[tail >= 0] - 1] = False
         rows[~stem] = tail[tail >= 0]
-        n = size[at]
         rows[stem] = flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        base = len(self.first)
-        self.first, self.size, self.flat = np.r_[self.first, len(self.flat) + begins], np.r_[self.size, sizes], np.r_[self.flat, rows]
-        seen.update(zip(new, range(base, base + len(new)), strict=True))
-
-    def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one text after another, each with the end id, and how many each text has."""
-        pieces: list[str] = []
-        ends = []
-        odd: dict[int, list[int]] = {}
-        for k, text in enumerate(texts):
-            if _TWO_SPACES.search(text):
-                odd[k] = self._whole([text])[0]
-            else:
-                pieces += _UNITS.findall(text)
-            ends.append(len(pieces))
-        self._learn(pieces)
-        at = np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
-        size, first = self.size[at], self.first[at]
+        return rows, sizes
+
+    def _learn(self, raw: bytes, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Adds pieces with new, ascending keys."""
+        if len(self.seen) + len(keys) > self.keep and len(self.seen):
+            raise OverflowError
+        rows, sizes = self._encode_pieces([raw[s:e].decode() for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+        at = np.searchsorted(self.seen, keys)
+        self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes.astype(np.int32))
+        self.seen = np.insert(self.seen, at, keys)
+        self.flat = np.r_[self.flat, rows]
+
+    def encode(self, buf: np.ndarray, at: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a buffer, each with the end id, and how many each text has."""
+        n, n_texts = len(buf), len(at) - 1
+        odd = np.flatnonzero(_odd_texts(buf, at))
+        begin = (buf == 0x20) | (buf == 0x0A)
+        begin[1:] |= buf[:-1] == 0x0A
+        first = at[:-1]
+        begin[first[first < n]] = True
+        start = np.flatnonzero(begin)
+        end = np.r_[start[1:], n]
+        inside = np.repeat(np.isin(np.arange(n_texts), odd), np.diff(np.searchsorted(start, at)))
+        start, end = start[~inside], end[~inside]
+        keys = bw.mix(bw.Hasher(buf)(start, end) + (end - start).astype(np.uint64))
+        unique, lead, back = np.unique(keys, return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        for _ in range(2):
+            place = np.searchsorted(self.seen, unique)
+            known = np.zeros(len(unique), bool)
+            there = place < len(self.seen)
+            known[there] = self.seen[place[there]] == unique[there]
+            if known.all():
+                break
+            try:
+                self._learn(raw, unique[~known], start[lead[~known]], end[lead[~known]])
+            except OverflowError:
+                self._reset()
+                self._learn(raw, unique, start[lead], end[lead])
+        place = np.searchsorted(self.seen, unique)
+        size, from_ = self.size[place].astype(np.int64)[back], self.first[place][back]
         begins = np.cumsum(size) - size
         total = int(size.sum())
-        flat = self.flat[np.repeat(first - begins, size) + np.arange(total)]
-        upto = np.r_[begins, total][np.array(ends, np.int64)] if texts else np.zeros(0, np.int64)
+        flat = self.flat[np.repeat(from_ - begins, size) + np.arange(total)]
+        upto = np.r_[begins, total][np.searchsorted(start, at[1:])]
         counts = np.diff(upto, prepend=0)
         tail = [] if end_id is None else [end_id]
-        if odd:
+        if len(odd):
+            whole = dict(zip(odd.tolist(), self._whole([raw[at[k] : at[k + 1]].decode() for k in odd.tolist()]), strict=True))
             parts, before = [], 0
             for k, e in enumerate(upto.tolist()):
-                parts.append(np.array(odd[k] + tail, np.uint32) if k in odd else np.r_[flat[before:e], np.array(tail, np.uint32)])
+                parts.append(np.array(whole[k] + tail, np.uint32) if k in whole else np.r_[flat[before:e], np.array(tail, np.uint32)])
                 before = e
             return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         if tail:
@@ -299,7 +335,7 @@ def images(docs: DataFrame, vocabulary: str, end_id: int = END_ID, image_ids: in
             return pa.RecordBatch.from_arrays(row, ["part", "seq", "n_docs", "n_ids", "image"])
 
         for batch in slices(batches, limit=1 << 22):
-            ids, counts = encoder.encode(batch.column(1).to_pylist(), end_id)
+            ids, counts = encoder.encode(*text_buffer(batch.column(1)), end_id)
             if held and n + len(ids) > image_ids:
                 yield flush()
             held.append((ids, counts, batch.column(0).to_pylist()))

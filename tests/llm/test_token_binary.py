@@ -2,12 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lexigram.llm import token_binary as tb
+from lexigram.llm.common import text_buffer
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,9 +44,9 @@ TEXTS = [
 
 def test_encoder_equals_the_library():
     whole = plain()
-    for keep in (300_000, 5):
+    for keep in (3_000_000, 5):
         e = tb.Encoder(VOCAB, keep)
-        ids, counts = e.encode(TEXTS, 2)
+        ids, counts = e.encode(*text_buffer(pa.array(TEXTS)), 2)
         want = [whole.encode(t, add_special_tokens=False).ids + [2] for t in TEXTS]
         assert counts.tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
@@ -54,7 +56,7 @@ def test_encoder_equals_the_library():
 @given(st.text(st.sampled_from(list("ab.,' \n\té1-́²")), max_size=25))
 def test_encoder_on_odd_strings(text):
     e = tb._encoder(VOCAB)
-    assert e.encode([text], None)[0].tolist() == plain_once().encode(text, add_special_tokens=False).ids
+    assert e.encode(*text_buffer(pa.array([text])), None)[0].tolist() == plain_once().encode(text, add_special_tokens=False).ids
 
 
 _plain = []
