@@ -143,3 +143,18 @@ def xxh64(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 42)
     acc ^= acc >> U64(32)
     out[order] = acc
     return out
+
+
+#: Bytes of plain words: ASCII letters and digits and all of other characters.
+IS_PLAIN = np.zeros(256, bool)
+IS_PLAIN[48:58] = IS_PLAIN[65:91] = IS_PLAIN[97:123] = IS_PLAIN[128:] = True
+
+
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the Latin-1 capitals (C3 80 to C3 9E but the times sign), byte for byte."""
+    low = LOWER[buf]
+    after = np.flatnonzero(buf == 0xC3) + 1
+    after = after[after < len(buf)]
+    after = after[(buf[after] >= 0x80) & (buf[after] <= 0x9E) & (buf[after] != 0x97)]
+    low[after] += 32
+    return low

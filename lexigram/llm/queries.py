@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigram.llm import chat_format, credential_links, kd_sharding, robust_outliers, simhash_tiles, token_binary
+from lexigram.llm import cgk_decontam, chat_format, credential_links, kd_sharding, robust_outliers, simhash_tiles, token_binary
 from lexigram.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgk_decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op6_token_binary": op6_token_binary,
     "op7_kd_sharding": op7_kd_sharding,
+    "op9_cgk_decontam": op9_cgk_decontam,
     "op10_simhash_tiles": op10_simhash_tiles,
 }
 
