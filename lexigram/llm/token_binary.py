@@ -37,7 +37,7 @@ from lexigram.llm.common import id_and_text, shared_dir, slices, text_buffer
 
 END_ID = 2
 #: Ids in an image at most, unless a single document has more.
-IMAGE_IDS = 1 << 22
+IMAGE_IDS = 1 << 21
 _SAMPLE = 64
 _HEAD = "<4sHHQQ"
 _MAGIC = b"LXEF"
@@ -175,7 +175,7 @@ class Encoder:
     are bounded by ``keep``.
     """
 
-    def __init__(self, path: str, keep: int = 3_000_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -334,7 +334,7 @@ def images(docs: DataFrame, vocabulary: str, end_id: int = END_ID, image_ids: in
             held, n, seq = [], 0, seq + 1
             return pa.RecordBatch.from_arrays(row, ["part", "seq", "n_docs", "n_ids", "image"])
 
-        for batch in slices(batches, limit=1 << 22):
+        for batch in slices(batches, limit=1 << 20):
             ids, counts = encoder.encode(*text_buffer(batch.column(1)), end_id)
             if held and n + len(ids) > image_ids:
                 yield flush()
