@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigram.llm import cgk_decontam, chat_format, credential_links, kd_sharding, robust_outliers, simhash_tiles, token_binary
+from lexigram.llm import cgk_decontam, chat_format, credential_links, kd_sharding, robust_outliers, simhash_tiles, token_binary, toxic_crf
 from lexigram.llm.common import table
 
 
@@ -19,6 +19,20 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.robust_outliers(table(spark, sf_dir, "documents"))
 
 
+def op2_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxic_crf.held_out(F.col("doc_id"), 3, 1)
+    model = toxic_crf.train(docs, labels.where(~F.coalesce(out, F.lit(False))))
+    tagged = toxic_crf.tag(docs, model)
+    return tagged.select(
+        "doc_id",
+        F.coalesce(out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxic_crf.THRESHOLD).cast("int").alias("predicted"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
+    )
+
+
 def op3_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credential_links.scan(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("long")
@@ -69,6 +83,7 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op2_toxic_crf": op2_toxic_crf,
     "op3_credential_links": op3_credential_links,
     "op4_chat_format": op4_chat_format,
     "op6_token_binary": op6_token_binary,
