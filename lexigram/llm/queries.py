@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigram.llm import cgk_decontam, chat_format, credential_links, kd_sharding, robust_outliers, simhash_tiles, token_binary, toxic_crf
+from lexigram.llm import cgk_decontam, chat_format, credential_links, kd_sharding, robust_outliers, simhash_tiles, token_binary, toxic_crf, zstd_quality
 from lexigram.llm.common import table
 
 
@@ -73,6 +73,14 @@ def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxic_crf.held_out(F.col("doc_id"), 5, 0)
+    model = zstd_quality.train(docs, labels.where(~F.coalesce(out, F.lit(False))))
+    scored = zstd_quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= zstd_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk_decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,6 +96,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op6_token_binary": op6_token_binary,
     "op7_kd_sharding": op7_kd_sharding,
+    "op8_zstd_quality": op8_zstd_quality,
     "op9_cgk_decontam": op9_cgk_decontam,
     "op10_simhash_tiles": op10_simhash_tiles,
 }
