@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigram.llm import cgk_decontam, chat_format, credential_links, kd_sharding, robust_outliers, simhash_tiles, token_binary, toxic_crf, zstd_quality
+from lexigram.llm import cgk_decontam, chat_format, credential_links, kd_sharding, lattice_sampling, robust_outliers, simhash_tiles, token_binary, toxic_crf, zstd_quality
 from lexigram.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lattice_sampling(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    made = lattice_sampling.encode(table(spark, sf_dir, "documents"), model or _vocabulary("piece_bpe_32k.model"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "lossless")
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = token_binary.new_path(spark)
     token_binary.write(table(spark, sf_dir, "documents"), vocabulary or _vocabulary("byte_bpe_50k.json"), path)
@@ -94,6 +99,7 @@ QUERIES = {
     "op2_toxic_crf": op2_toxic_crf,
     "op3_credential_links": op3_credential_links,
     "op4_chat_format": op4_chat_format,
+    "op5_lattice_sampling": op5_lattice_sampling,
     "op6_token_binary": op6_token_binary,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_zstd_quality": op8_zstd_quality,
