@@ -216,3 +216,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """One row of ``docs`` of each near-duplicate group, that of the least id, with all its columns.
+
+    Rows without an id stay only where their group has no row with one.  Of rows that repeat
+    id and text one stays.
+    """
+    no_id = F.col(id_col).isNull()
+    k1 = F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType))
+    k2 = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), no_id)
+    keyed = docs.select(F.struct(no_id.alias("no_id"), k1.alias("k1"), k2.alias("k2")).alias("id"), F.col(text_col).alias("text"))
+    classes = near_duplicates(keyed, "id", "text", radius, chunk)
+    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.k1").alias("__k1"), F.col("doc_id.k2").alias("__k2"))
+    rows = docs.withColumns({"__k1": k1, "__k2": k2})
+    return rows.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(docs.columns)

@@ -259,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = read.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").toArrow()  # at most 2 * sample rows
     order = sorted(range(rows.num_rows), key=lambda i: (hash_order(rows["doc_id"][i].as_py()), rows["y"][i].as_py()))
-    rows = rows.take(order)
+    rows = rows.take(pa.array(order, pa.int64()))
     return fit([t or "" for t in rows["text"].to_pylist()], np.array(rows["y"].to_pylist()) == 1, float(rates))
 
 

@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = read.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").toArrow()  # at most 2 * sample rows
     names, y = [str(i).encode() for i in rows["doc_id"].to_pylist()], rows["y"].to_pylist()
     order = sorted(range(len(names)), key=lambda i: (bw.one_hash(names[i]), y[i]))
-    rows = rows.take(order)
+    rows = rows.take(pa.array(order, pa.int64()))
     return fit([(t or "").encode() for t in rows["text"].to_pylist()], np.array(rows["y"].to_pylist()) == 1, float(share))
 
 

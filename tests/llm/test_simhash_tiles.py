@@ -59,3 +59,11 @@ def test_compare_connects_all_links(n):
     across = {(int(fp[i]), int(fp[j])) for i, j in zip(a, b, strict=True) if i < half <= j}
     root = dict(zip(u.tolist(), v.tolist(), strict=True))
     assert all(root.get(x, x) == root.get(y, y) for x, y in across)
+
+
+def test_deduplicate_keeps_one_row_a_group(spark):
+    rows = [(5, "a b c d e", "x"), (3, "a b c d e", "y"), (None, "a b c d e", "z"), (None, "other words stand here", "n"), (7, "p q r s", "k"), (7, "p q r s", "k"), (7, "u v w x y", "m"), (8, None, "q"), (9, "", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = st.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[6], rows[7]]))
