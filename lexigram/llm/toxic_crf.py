@@ -185,6 +185,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
+def _runs(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of about ``limit`` characters together, so that scratch arrays stay small."""
+    low = size = 0
+    for i, t in enumerate(texts):
+        if i > low and size + len(t) > limit:
+            yield low, i
+            low, size = i, 0
+        size += len(t)
+    if texts:
+        yield low, len(texts)
+
+
+def _marked(texts: list[str], lexicon: Weights) -> Marked:
+    parts, base = [], 0
+    for low, high in _runs(texts):
+        m = mark(*text_buffer(pa.array(texts[low:high])), lexicon)
+        m.text, m.pair_token = m.text + low, m.pair_token + base
+        base += len(m.text)
+        parts.append(m)
+    return Marked(*[np.concatenate([getattr(m, f) for m in parts]) for f in Marked.__dataclass_fields__])
+
+
 def fit(texts: list[str], toxic: np.ndarray, base_rate: float) -> Model:
     """A model from labelled texts; ``base_rate`` is the share of label 1 among all labelled rows."""
     toxic = np.asarray(toxic, bool)
@@ -192,18 +214,17 @@ def fit(texts: list[str], toxic: np.ndarray, base_rate: float) -> Model:
     if not toxic.any() or toxic.all():
         return nothing
     part = np.arange(len(texts)) % 3  # two thirds for the field, one for the curve
-    buf, at = text_buffer(pa.array(texts))
-    start, _, keys = tokens(buf, at)
-    text = np.repeat(np.arange(len(texts)), bw.counts(start, at))
-    use = part[text] < 2
-    counts: dict[bool, tuple] = {}
-    for kind in (True, False):
-        seen = []
-        for key in keys:
-            pick = use & (toxic[text] == kind) & (key != 0)
-            pairs = np.unique(np.stack([key[pick], text[pick].astype(np.uint64)]), axis=1)
-            seen.append(pairs[0])
-        counts[kind] = np.unique(np.concatenate(seen), return_counts=True)
+    seen: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for low, high in _runs(texts):
+        buf, at = text_buffer(pa.array(texts[low:high]))
+        start, _, keys = tokens(buf, at)
+        text = np.repeat(np.arange(low, high), bw.counts(start, at))
+        for kind, into in seen.items():
+            for key in keys:
+                pick = (part[text] < 2) & (toxic[text] == kind) & (key != 0)
+                into.append(np.unique(np.stack([key[pick], text[pick].astype(np.uint64)]), axis=1)[0])
+    counts = {kind: np.unique(np.concatenate(found), return_counts=True) for kind, found in seen.items()}
+    del seen
     n1, n0 = (max(1, int((part < 2)[toxic == k].sum())) for k in (True, False))
     key, inside = counts[True]
     outside = np.zeros(len(key), np.int64)
@@ -215,7 +236,7 @@ def fit(texts: list[str], toxic: np.ndarray, base_rate: float) -> Model:
     if not len(chosen):
         return nothing
     lexicon = Weights(chosen, np.zeros(len(chosen)))
-    m = mark(buf, at, lexicon)
+    m = _marked(texts, lexicon)
     label = toxic[m.text]
 
     # label frequencies: pairs of neighbouring states, text by text; unmarked tokens are in state 0
