@@ -25,7 +25,7 @@ LOWER[65:91] += 32
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), base, np.uint64)
+        have = np.full(max(n, 1 << 20), base, np.uint64)
         have[0] = 1
         have = _powers[base] = np.cumprod(have, dtype=np.uint64)
     return have[:n]

@@ -252,7 +252,7 @@ def _matches(docs: DataFrame, block: Block, item_type: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        for part in slices(batches, limit=1 << 22):
+        for part in slices(batches, limit=1 << 21):
             got = block.matches(*word_hashes(*text_buffer(part.column(1))))
             if got:
                 text, which, dist, first, end = zip(*got, strict=True)
@@ -284,7 +284,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             block = held.value
-            for part in slices(batches, text=at, limit=1 << 22):
+            for part in slices(batches, text=at, limit=1 << 21):
                 bad = {m[0] for m in block.matches(*word_hashes(*text_buffer(part.column(at))))}
                 clean = part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64())) if bad else part
                 yield pa.RecordBatch.from_arrays(clean.columns, names)
