@@ -18,6 +18,7 @@ from lexigram.operators.aggregate import count_windows
 from lexigram.operators.store import open_index, write_export, write_index
 from lexigram.operators.windows import array_windows
 from lexigram.plans.search import SearchArgs, matching, search
+from lexigram.sources.readers import spread
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
@@ -33,8 +34,6 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.files.maxPartitionBytes", "1m")
-        .config("spark.sql.files.openCostInBytes", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,7 +42,7 @@ def session() -> SparkSession:
 
 def main() -> None:
     spark = session()
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
     folder = tempfile.mkdtemp(prefix="lexigram-bench-")
     times: dict[str, float] = {}
 

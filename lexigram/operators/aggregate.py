@@ -59,13 +59,8 @@ def attribute_dictionary(rows: DataFrame, value: str, order: list[str]) -> DataF
 
 def levels(index: DataFrame, n: int) -> DataFrame:
     """One row: how many different prefixes of each length the index has."""
-    # from the longest prefix down, each level aggregates the one below
-    out, below = None, index.select(*names(n)).distinct()
-    for k in range(n, 0, -1):
-        below = below.select(*names(k)).distinct()
-        one = below.agg(F.count("*").alias(f"level{k}"))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out.select(*[f"level{k}" for k in range(1, n + 1)])
+    prefixes = index.rollup(*names(n)).agg(F.grouping_id().alias("g"))
+    return prefixes.agg(*[F.count(F.when(F.col("g") == 2 ** (n - k) - 1, 1)).alias(f"level{k}") for k in range(1, n + 1)])
 
 
 def decode(rows: DataFrame, dictionary: DataFrame, id_col: str, out_col: str) -> DataFrame:

@@ -64,8 +64,7 @@ def array_windows(
             base = base.withColumn("__p", pairs).withColumns({"__t": F.col("__p.__t"), "__g": F.col("__p.__g")}).drop("__p")
         else:
             base = base.withColumn("__t", F.filter("__t", lambda t: ~t.isin(*ignore)))
-    size = F.size("__t") - (n - 1)
-    base = base.where(size > 0)
+    size = F.greatest(F.size("__t") - (n - 1), F.lit(0))  # none where the row is too short
     columns = [F.slice("__t", F.lit(i), size).alias(f"t{i}") for i in range(1, n + 1)]
     if tags is not None:
         columns += [F.slice("__g", F.lit(i), size).alias(f"g{i}") for i in range(1, n + 1)]

@@ -11,9 +11,9 @@ from lexigram.functions.text import tokens
 from lexigram.operators import aggregate
 from lexigram.operators.rules import any_prefix, cnf
 from lexigram.operators.store import export_lines
-from lexigram.operators.windows import array_windows, names
+from lexigram.operators.windows import array_windows, names, stream_windows
 from lexigram.plans.search import SearchArgs, matching, search
-from lexigram.sources.readers import table_tokens
+from lexigram.sources.readers import spread, table_stream, table_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,7 +38,7 @@ def query(sql: str) -> Callable:
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _windows(docs: DataFrame, n: int, **more) -> DataFrame:
@@ -251,6 +251,12 @@ def conversation_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.count_windows(w, 2, 0, ["role"], ["conv_id", "turn"])
 
 
+@query(f"""{_TOKENS}, w0 as (select tok as t1, lead(tok) over (order by doc_id, pos) as t2 from tk)
+  select t1, t2, count(*) as count from w0 where t2 is not null group by t1, t2""")
+def cross_document_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.count_windows(stream_windows(table_stream(_docs(spark, sf_dir)), 2, "file"), 2)
+
+
 @query(f"{_TOKENS}, {_G2} select * from g where count >= 2 order by count desc, t1, t2 limit 25")
 def top_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir, 2, 2).orderBy(F.desc("count"), "t1", "t2").limit(25)

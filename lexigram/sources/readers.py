@@ -19,12 +19,29 @@ _ID = r"^[A-Za-z_][A-Za-z0-9_]*$"
 _LINE = r"^</?[A-Za-z_]"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out to all cores where their source has fewer pieces than there are cores; else as they are.
+
+    A table in many pieces, as any large one, is never shuffled by this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def table_tokens(rows: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep..., tok, pos`` of every token of every row; each row is a sequence of its own."""
     keep = keep or ["doc_id"]
     return rows.select(*keep, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
 
 
+def table_stream(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", ignore: list[str] | None = None, rows_a_piece: int = 4096) -> DataFrame:
+    """All rows as one stream ``(file, pos, tok)`` in the order of their integer ids: windows run across rows."""
+    words = rows.select(F.lit("").alias("file"), F.floor(F.col(id_col) / rows_a_piece).alias("at"), F.col(id_col).alias("__id"), F.posexplode(tokens(F.col(text_col))).alias("__k", "tok"))
+    if ignore:
+        words = words.where(~F.col("tok").isin(*ignore))
+    return numbered(words.withColumn("key", F.struct("__id", "__k")), ["file", "at"], "key").select("file", "pos", "tok")
+
+
 def _lines(spark: SparkSession, path: str, charset: str) -> DataFrame:
     """``file, at, line, key`` of every line; ``at`` is the start of the piece of file, ``key`` orders within."""
     name = check_charset(charset)
