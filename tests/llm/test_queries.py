@@ -1,0 +1,109 @@
+"""The queries' contracts, over the whole small tables."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from lexigram.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return {i: t or "" for i, t in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()}
+
+
+def run(spark, name):
+    return queries.QUERIES[name](spark, SF).collect()
+
+
+def test_op1(spark, docs):
+    rows = run(spark, "op1_robust_outliers")
+    assert {r["doc_id"] for r in rows} == set(docs) and len(rows) == len(docs)
+    for r in rows:
+        assert r["n_words"] == len(docs[r["doc_id"]].encode().split()) and r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+
+
+@pytest.mark.parametrize(("name", "mod", "at", "threshold"), [("op2_toxic_crf", 3, 1, 0.7), ("op8_zstd_quality", 5, 0, 0.3)])
+def test_op2_and_op8(spark, docs, name, mod, at, threshold):
+    rows = run(spark, name)
+    assert {r["doc_id"] for r in rows} == set(docs) and len(rows) == len(docs)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % mod == at)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= threshold)
+
+
+def test_op3(spark, docs):
+    for r in run(spark, "op3_credential_links"):
+        base = []
+        for k, (kind, pattern, group, least) in enumerate((("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))):
+            base += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, docs[r["doc_id"]]) if len(m[group]) >= least]
+        text = ",".join(s for _, _, s in sorted(base))
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, j, _ in base) for k in range(3)]
+
+
+def test_op4_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op4_chat_format"]).fetchall()
+    assert sorted(map(tuple, run(spark, "op4_chat_format"))) == sorted(want)
+
+
+def test_op5(spark, docs):
+    rows = run(spark, "op5_lattice_sampling")
+    assert {r["doc_id"] for r in rows} == set(docs) and all(r["lossless"] for r in rows)
+
+
+def test_op6(spark, docs):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in run(spark, "op6_token_binary")}
+    start = 0
+    for i in sorted(docs):
+        ids = t.encode(docs[i], add_special_tokens=False).ids + [2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_op7(spark, docs):
+    rows = run(spark, "op7_kd_sharding")
+    assert {r["doc_id"] for r in rows} == set(docs)
+    shards = [[r for r in rows if r["shard"] == s] for s in range(16)]
+    for s in shards:
+        assert sorted(r["slot"] for r in s) == list(range(len(s)))
+    sizes = [sum(r["size"] for r in s) for s in shards]
+    assert sum(sizes) == sum(len(t.encode()) + 1 for t in docs.values()) and max(sizes) < 1.6 * min(sizes)
+    assert all(r["text_crc32"] == zlib.crc32(docs[r["doc_id"]].encode()) and r["law"] == "bytes" and r["grown_shard"] is None for r in rows)
+
+
+def test_op9(spark, docs):
+    items = dict(duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall())
+    plain = lambda t: " ".join(re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", t.lower()))
+    exact = {(d, i) for d, t in docs.items() for i, b in items.items() if f" {plain(b)} " in f" {plain(t)} "}
+    assert exact <= {(r["doc_id"], r["item_id"]) for r in run(spark, "op9_cgk_decontam")}
+
+
+def test_op10(spark, docs):
+    def fingerprint(text):
+        words = text.encode().lower().split()
+        shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
+        return sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+
+    prints = {i: fingerprint(t) for i, t in docs.items()}
+    least = {i: i for i in docs}
+    links = [(a, b) for a in docs for b in docs if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in run(spark, "op10_simhash_tiles")} == {i: (f"{prints[i]:016x}", least[i]) for i in docs}
