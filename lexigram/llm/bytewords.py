@@ -89,6 +89,36 @@ def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+#: Texts of more bytes are worked on piece by piece.
+LONG = 1 << 22
+
+
+def pieces(buf: np.ndarray, limit: int | None = None) -> list[tuple[int, int]]:
+    """Neighbouring pieces of one text, each cut before a space between two visible bytes."""
+    limit = limit or LONG // 4
+    n, low, out = len(buf), 0, []
+    while low < n:
+        high, look = low + limit, max(limit // 4, 64)
+        while high < n - 1:
+            part = buf[high - 1 : high + look + 1]
+            solid = IS_WORD_BYTE[part]
+            cut = np.flatnonzero((part[1:-1] == 0x20) & solid[:-2] & solid[2:])
+            if len(cut):
+                high += int(cut[0])
+                break
+            high += look
+        if high >= n - 1:
+            high = n
+        out.append((low, high))
+        low = high
+    return out
+
+
+def pieces_if_long(buf: np.ndarray) -> list[tuple[int, int]]:
+    """The pieces of a text over the limit; one piece for others, and where a text has no place to cut."""
+    return pieces(buf) if len(buf) > LONG else [(0, len(buf))]
+
+
 # Constants of the public XXH64 definition (fixed values).
 _P1 = 11400714785074694791
 _P2 = 14029467366897019727

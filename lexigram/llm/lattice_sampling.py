@@ -245,16 +245,27 @@ def units(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def encode_texts(pieces: Pieces, buf: np.ndarray, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled ids of all texts one after another, and how many each has."""
+def encode_texts(pieces: Pieces, buf: np.ndarray, at: np.ndarray, keys: np.ndarray, done: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled ids of all texts one after another, and how many each has.
+
+    ``done`` units of the text came before the buffer.
+    """
     n_texts = len(at) - 1
+    if n_texts == 1 and len(cuts := bw.pieces_if_long(buf)) > 1:  # a piece of a long text begins with a unit
+        found = []
+        for low, high in cuts:
+            ends = np.array([0, high - low])
+            found.append(encode_texts(pieces, buf[low:high], ends, keys, done)[0])
+            done += len(units(buf[low:high], ends)[0])
+        out = np.concatenate(found)
+        return out, np.array([len(out)])
     if not len(buf):
         return np.zeros(0, np.int32), np.zeros(n_texts, np.int64)
     start, end = units(buf, at)
     hashes = bw.mix(bw.Hasher(buf)(start, end) + (end - start).astype(np.uint64))
     _, lead, back = np.unique(hashes, return_index=True, return_inverse=True)
     text = np.repeat(np.arange(n_texts), bw.counts(start, at))
-    number = np.arange(len(start)) - np.searchsorted(start, at)[text]
+    number = np.arange(len(start)) - np.searchsorted(start, at)[text] + done
     seed = bw.mix(bw.mix(keys[text]) + number.astype(np.uint64) * _U(0xD1B54A32D192ED03))
     rows = np.argsort((back // UNITS).astype(np.uint16), kind="stable")
     cuts = np.searchsorted(back[rows] // UNITS, np.arange(-(-len(lead) // UNITS) + 1))

@@ -71,10 +71,17 @@ def count_texts(buf: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
     owner = np.repeat(np.arange(n_texts, dtype=np.uint64), words)
     word = bw.mix(hashes(start, end) + (end - start).astype(np.uint64))
+    _count_repeats(out, word, owner)
+    return out
+
+
+def _count_repeats(out: dict[str, np.ndarray], word: np.ndarray, owner: np.ndarray) -> None:
+    """Words that follow themselves and words in repeated windows, from hashes of all words."""
+    n_texts = len(out["n_words"])
     stutter = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
     out["n_stutters"] = np.bincount(owner[1:][stutter].astype(np.int64), minlength=n_texts)
-    if len(start) >= WINDOW:
-        m = len(start) - WINDOW + 1
+    if len(word) >= WINDOW:
+        m = len(word) - WINDOW + 1
         window = bw.mix(owner[:m])
         for i in range(WINDOW):
             window = bw.mix(window * np.uint64(0x9E3779B97F4A7C15) + word[i : i + m])
@@ -86,11 +93,38 @@ def count_texts(buf: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         twice[1:] |= same
         twice[:-1] |= same
         hit = whole[order[twice]]
-        cover = np.zeros(len(start) + 1, np.int64)
+        cover = np.zeros(len(word) + 1, np.int64)
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + WINDOW, -1)
         covered = np.cumsum(cover[:-1]) > 0
         out["n_repeat_words"] = np.bincount(owner[covered].astype(np.int64), minlength=n_texts)
+
+
+def count_long(buf: np.ndarray) -> dict[str, np.ndarray]:
+    """The same counts of one long text: sums over its pieces, hashes of all words, digests of all lines."""
+    import hashlib
+
+    parts, words = [], []
+    for low, high in bw.pieces(buf):
+        piece, ends = buf[low:high], np.array([0, high - low])
+        start, end = bw.spans(bw.IS_WORD_BYTE[piece], ends)
+        words.append(bw.mix(bw.Hasher(piece)(start, end) + (end - start).astype(np.uint64)))
+        solid = bw.IS_WORD_BYTE[piece]
+        parts.append((len(start), int((solid & ((piece & 0xC0) != 0x80)).sum()), int(_SYMBOL[piece].sum()), int(_UPPER[piece].sum())))
+    out = {k: np.zeros(1, np.int64) for k in COUNTS}
+    for k, name in enumerate(("n_words", "word_chars", "n_symbols", "n_upper")):
+        out[name][0] = sum(p[k] for p in parts)
+    seen: set[bytes] = set()
+    breaks = np.r_[-1, np.flatnonzero(buf == 0x0A), len(buf)].tolist()
+    for a, b in zip(breaks[:-1], breaks[1:], strict=True):
+        line = buf[a + 1 : b]
+        if bw.IS_WORD_BYTE[line].any():
+            out["n_lines"] += 1
+            digest = hashlib.blake2b(line, digest_size=16).digest()
+            out["n_dup_lines"] += digest in seen
+            seen.add(digest)
+    word = np.concatenate(words)
+    _count_repeats(out, word, np.zeros(len(word), np.uint64))
     return out
 
 
@@ -106,7 +140,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            got = count_texts(*text_buffer(part.column(1)))
+            buf, at = text_buffer(part.column(1))
+            got = count_texts(buf, at) if len(buf) <= bw.LONG else count_long(buf)  # a long text comes alone
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *[pa.array(got[c].astype(np.int64)) for c in COUNTS]], ["doc_id", "lang", "source", *COUNTS])
 
     return read.mapInArrow(run, f"doc_id {kind}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))

@@ -36,15 +36,14 @@ _LANE = 60000
 _LOW16 = np.uint64(0x0001000100010001)
 
 
-def simhash(buf: np.ndarray, at: np.ndarray, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The fingerprint of each text as uint64."""
+def _shingles(buf: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, text after text, and how many each text has."""
     n_texts = len(at) - 1
-    out = np.zeros(n_texts, np.uint64)
-    start, end = bw.spans(bw.IS_WORD_BYTE[buf], at)
+    solid = bw.IS_WORD_BYTE[buf]
+    start, end = bw.spans(solid, at)
     if not len(start):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(n_texts, np.int64)
     here = bw.counts(start, at)
-    solid = bw.IS_WORD_BYTE[buf]
     keep = solid.copy()
     keep[1:] |= solid[:-1]
     place = np.cumsum(keep, dtype=np.int64)
@@ -57,7 +56,17 @@ def simhash(buf: np.ndarray, at: np.ndarray, words: int = SHINGLE_WORDS) -> np.n
     base = np.cumsum(shingles) - shingles
     lead = np.arange(len(of)) - base[of] + first[of]
     last = lead + np.minimum(words, here[of]) - 1
-    h = bw.xxh64(norm, start[lead], end[last] - start[lead], 42)
+    return bw.xxh64(norm, start[lead], end[last] - start[lead], 42), shingles
+
+
+def simhash(buf: np.ndarray, at: np.ndarray, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The fingerprint of each text as uint64."""
+    n_texts = len(at) - 1
+    out = np.zeros(n_texts, np.uint64)
+    h, shingles = _shingles(buf, at, words)
+    if not len(h):
+        return out
+    base = np.cumsum(shingles) - shingles
     full = np.flatnonzero(shingles)
     cuts = np.concatenate([np.arange(b, b + k, _LANE) for b, k in zip(base[full].tolist(), shingles[full].tolist(), strict=True)])
     owner = np.searchsorted(base[full], cuts, "right") - 1
@@ -71,6 +80,39 @@ def simhash(buf: np.ndarray, at: np.ndarray, words: int = SHINGLE_WORDS) -> np.n
     return out
 
 
+def simhash_long(buf: np.ndarray, words: int = SHINGLE_WORDS) -> int:
+    """The same fingerprint of one long text, in memory bounded by a piece of it."""
+    ones, total = np.zeros(64, np.int64), 0
+    cuts = bw.pieces(buf)
+    for low, high in cuts:
+        own = len(bw.spans(bw.IS_WORD_BYTE[buf[low:high]], np.array([0, high - low]))[0])
+        more, end = high, len(buf)
+        if high < end:  # the words that the last shingles of the piece reach into
+            look = 4096
+            while True:
+                start, stop = bw.spans(bw.IS_WORD_BYTE[buf[high : high + look]], np.array([0, min(look, end - high)]))
+                if len(start) > words or high + look >= end:
+                    break
+                look *= 4
+            more = high + int(stop[min(words - 1, len(stop)) - 1]) if len(stop) else end
+        h = _hashes(buf[low:more], words)
+        if high < end:
+            h = h[:own]
+        elif low and own < words:
+            h = h[:0]  # its shingles were the last piece's, which reached to the end
+        total += len(h)
+        for k in range(64):
+            ones[k] += int(np.count_nonzero((h >> np.uint64(k)) & np.uint64(1)))
+    return sum(1 << k for k in range(64) if 2 * int(ones[k]) > total)
+
+
+def _hashes(buf: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all shingles of one text in order."""
+    at = np.array([0, len(buf)])
+    start, _ = bw.spans(bw.IS_WORD_BYTE[buf], at)
+    return _shingles(buf, at, words)[0] if len(start) else np.zeros(0, np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and its fingerprint ``fp`` (a signed 64-bit integer) for every row."""
     read = id_and_text(docs, id_col, text_col)
@@ -78,7 +120,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fp = simhash(*text_buffer(part.column(1)))
+            buf, at = text_buffer(part.column(1))
+            fp = simhash(buf, at) if len(buf) <= bw.LONG else np.array([simhash_long(buf)], np.uint64)  # a long text comes alone
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return read.mapInArrow(run, f"doc_id {kind}, fp long")

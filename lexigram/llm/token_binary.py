@@ -259,6 +259,10 @@ class Encoder:
     def encode(self, buf: np.ndarray, at: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a buffer, each with the end id, and how many each text has."""
         n, n_texts = len(buf), len(at) - 1
+        if n_texts == 1 and len(cuts := bw.pieces_if_long(buf)) > 1:
+            if not any(_odd_texts(buf[a:b], np.array([0, b - a]))[0] for a, b in cuts):
+                ids = np.concatenate([self.encode(buf[a:b], np.array([0, b - a]), None)[0] for a, b in cuts] + [np.array([] if end_id is None else [end_id], np.uint32)])
+                return ids, np.array([len(ids)])
         odd = np.flatnonzero(_odd_texts(buf, at))
         begin = (buf == 0x20) | (buf == 0x0A)
         begin[1:] |= buf[:-1] == 0x0A

@@ -89,6 +89,16 @@ class Marked:
 
 
 def mark(buf: np.ndarray, at: np.ndarray, lexicon: Weights) -> Marked:
+    if len(at) == 2 and len(cuts := bw.pieces_if_long(buf)) > 1:  # one long text, piece by piece
+        parts, pairs, done = [], 0, 0
+        for low, high in cuts:
+            m = mark(buf[low:high], np.array([0, high - low]), lexicon)
+            m.place, m.start, m.end, m.pair_token = m.place + done, m.start + low, m.end + low, m.pair_token + pairs
+            pairs += len(m.text)
+            done += int(m.n_tokens[0])
+            parts.append(m)
+        joined = [np.concatenate([getattr(m, f) for m in parts]) for f in Marked.__dataclass_fields__]
+        return Marked(*joined[:-1], np.array([done]))
     start, end, keys = tokens(buf, at)
     found = [lexicon.index(k) for k in keys]
     where = np.concatenate([f[0] for f in found])
