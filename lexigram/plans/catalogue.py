@@ -147,6 +147,21 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_index(spark, sf_dir), SearchArgs("*", offset=5, limit=10))
 
 
+@query(f"{_TOKENS}, {_G3} select * from g where starts_with(t1, 'on') order by t1, t2, t3 offset 100")
+def page_offset_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_index(spark, sf_dir), SearchArgs("on*", offset=100))
+
+
+@query(f"""{_TOKENS}, s1 as (select * from tk where tok not in ({", ".join(f"'{s}'" for s in IGNORE)})), {_grams(2, "s1")} select * from g""")
+def ignored_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.count_windows(_windows(_docs(spark, sf_dir), 2, ignore=IGNORE), 2)
+
+
+@query(f"""{_TOKENS}, {_grams(2, where="and t1 not in ('the', 'die', 'la', 'de') and t2 not in ('the', 'die', 'la', 'de')")} select * from g""")
+def stop_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.count_windows(_windows(_docs(spark, sf_dir), 2, stop=STOP), 2)
+
+
 @query(f"""{_TOKENS}, w0 as (select doc_id, pos, lang, source, tok as t1, lead(tok, 1) over w as t2
       from tk window w as (partition by doc_id order by pos))
   select t1, t2, count(*) as count, arg_min(source, doc_id) as source, arg_min(lang, doc_id) as lang
@@ -183,6 +198,24 @@ def encoded_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("id1", "id2", "count")
 
 
+_DICT = "d as (select word, row_number() over (order by word) - 1 as id from (select distinct tok as word from tk))"
+
+
+@query(f"{_TOKENS}, {_DICT}, {_G2} select a.id as id1, t2, count from g join d a on a.word = t1 where a.id between 100 and 120")
+def ngrams_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = aggregate.word_dictionary(table_tokens(_docs(spark, sf_dir)))
+    coded = aggregate.encode(_index(spark, sf_dir, 2), words, "t1", "id1")
+    return coded.where(F.col("id1").between(100, 120)).select("id1", "t2", "count")
+
+
+@query(f"{_TOKENS}, {_G2} select t1, t2, count from g where t1 = 'on'")
+def decoded_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = aggregate.word_dictionary(table_tokens(_docs(spark, sf_dir)))
+    coded = aggregate.encode(aggregate.encode(matching(_index(spark, sf_dir, 2), SearchArgs("on")), words, "t1", "i1"), words, "t2", "i2")
+    plain = coded.select("i1", "i2", "count")
+    return aggregate.decode(aggregate.decode(plain, words, "i1", "t1"), words, "i2", "t2").select("t1", "t2", "count")
+
+
 @query("""select source as value, row_number() over (order by min(doc_id), source) - 1 as id from documents group by source""")
 def attr_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.attribute_dictionary(_docs(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"])
