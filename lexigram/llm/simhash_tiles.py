@@ -1,13 +1,12 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-``fingerprints`` makes one 64-bit SimHash a text; ``links`` compares all different
-fingerprints exactly.  They are dealt into tiles by the bit counts of their two halves
-(33 x 33 of them, whatever the data), each cut into chunks of bounded size.  Two tiles
-meet only if their bit counts differ by no more than the radius, because each differing
-bit changes one of the counts by one.  Within a pair of tiles, numpy exclusive-ors and
-counts bits block by block, again skipping pairs of blocks by the bit counts of quarters.
-A pair of tiles yields a spanning forest of its links, never all pairs, and
-:mod:`lexigram.llm.components` joins the forests.
+``fingerprints`` makes one 64-bit SimHash a text; ``links`` finds all pairs of different
+fingerprints within the radius exactly.  They are dealt into groups that agree in the low bits
+of a band (two within the radius agree in a band, by the pigeonhole principle), and groups
+into tiles.  Within a group, numpy exclusive-ors and counts bits tile by tile, skipping pairs
+of tiles whose population counts differ beyond the radius (the counts of the four quarters,
+each differing bit changes one of them by one).  A group yields a spanning forest of its
+links, never all pairs, and :mod:`lexigram.llm.components` joins the forests.
 
 Null or empty texts and texts without a word have fingerprint zero and link to each
 other like any others; a null id is kept as a row of its own; repeated ids keep their
@@ -16,6 +15,7 @@ rows; an empty table gives an empty result.  Other columns are never read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +29,8 @@ from lexigram.llm.components import components
 
 SHINGLE_WORDS = 3
 RADIUS = 3
-#: Fingerprints in a chunk of a tile, and in the blocks that are compared at once.
-CHUNK, BLOCK = 32768, 512
+#: Fingerprints aimed at for a group, most that are compared together, and in a tile.
+GROUP, CHUNK, BLOCK = 2048, 32768, 512
 #: A lane of 16 bits counts this many shingles at least without overflow.
 _LANE = 60000
 _LOW16 = np.uint64(0x0001000100010001)
@@ -156,7 +156,7 @@ def _blocks(fp: np.ndarray) -> list[tuple]:
 
 
 def compare(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (node, root) of the links between two tiles, or within one if right is None."""
+    """A spanning forest (node, root) of the links between two chunks, or within one if right is None."""
     one = _blocks(left)
     two = one if right is None else _blocks(right)
     us, vs = [], []
@@ -182,41 +182,34 @@ def compare(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return node[node != root], root[node != root]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def _bands(radius: int, bits: int) -> list[tuple[int, int]]:
+    """Shift and mask of the low ``bits`` bits of each of radius + 1 bands of a fingerprint."""
+    n = radius + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [(a, (1 << min(bits, b - a)) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """Different fingerprints ``fp`` to edges ``(u, v)`` that connect all within the radius.
 
-    Every fingerprint goes to the pairs of chunks that its tile takes part in: about 25
-    for each chunk of a tile.  That part of the work grows with the square of the number
-    of different fingerprints, as exact comparison of all does; the tiles leave about a
-    quarter of the pairs and the blocks within them a twentieth.
+    Two fingerprints within the radius agree in one of radius + 1 bands at least, so they are
+    compared exactly where they agree in the low bits of a band: as many bits as make groups
+    of about ``group`` fingerprints, and at most the whole band.  Each fingerprint goes to
+    radius + 1 groups.  A group over ``chunk`` is cut into chunks, every pair of which meets
+    once.
     """
-    halves = [F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned("fp", 32))]
-    tiles = prints.select("fp", (halves[0] * 33 + halves[1]).cast("int").alias("tile"))
-    # 33 x 33 rows at most, whatever the data
-    sizes = {r["tile"]: r["n"] for r in tiles.groupBy("tile").agg(F.count("*").alias("n")).collect()}
-    parts = {t: -(-n // chunk) for t, n in sizes.items()}
-    meets = []
-    for t in sorted(parts):
-        p, q = divmod(t, 33)
-        for dp in range(-radius, radius + 1):
-            for dq in range(-(radius - abs(dp)), radius - abs(dp) + 1):
-                o = t + 33 * dp + dq
-                if 0 <= p + dp <= 32 and 0 <= q + dq <= 32 and o in parts:
-                    meets.append((t, o, parts[t], parts[o]))
-    spark = prints.sparkSession
-    plan = F.broadcast(spark.createDataFrame(meets, "tile int, other int, own_parts int, other_parts int"))  # 27,225 rows at most
-    own = F.pmod(F.xxhash64("fp"), F.col("own_parts")).cast("int")
+    n = prints.count()
+    bits = max(0, round(math.log2(n / group))) if n > group else 0
+    bands = _bands(radius, min(bits, 16)) if bits else [(0, 0)]
+    keyed = prints.select("fp", F.explode(F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)) + F.lit(i << 20) for i, (s, m) in enumerate(bands)])).alias("grp"))
+    # the few groups over a chunk; there are (radius + 1) * 65,536 groups at most, whatever the data
+    large = keyed.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("grp", F.ceil(F.col("n") / chunk).cast("int").alias("n_parts"))
+    cut_up = keyed.join(F.broadcast(large), "grp", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+    own, their = F.col("own"), F.col("their")
     dealt = (
-        tiles.join(plan, "tile")
-        .withColumn("own", own)
-        .select("fp", "tile", "other", "own", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("their"))
-        .select(
-            "fp",
-            F.when((F.col("tile") < F.col("other")) | ((F.col("tile") == F.col("other")) & (F.col("own") <= F.col("their"))), 0).otherwise(1).cast("byte").alias("side"),
-            F.least(F.struct("tile", F.col("own").alias("part")), F.struct(F.col("other").alias("tile"), F.col("their").alias("part"))).alias("a"),
-            F.greatest(F.struct("tile", F.col("own").alias("part")), F.struct(F.col("other").alias("tile"), F.col("their").alias("part"))).alias("b"),
-        )
-        .select((F.col("a.tile") * 1089 + F.col("b.tile")).alias("tiles"), ((F.col("a.part").cast("long") * F.lit(1 << 31)) + F.col("b.part")).alias("parts"), "side", "fp")
+        cut_up.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n_parts")).cast("int"))
+        .select("grp", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("their"))
+        .select("grp", (F.least(own, their).cast("long") * F.lit(1 << 31) + F.greatest(own, their)).alias("parts"), (own > their).cast("byte").alias("side"), "fp")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,26 +217,26 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
             if key is None:
                 return
             side, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            same = key[0] // 1089 == key[0] % 1089 and key[1] >> 31 == key[1] & (2**31 - 1)
+            same = key[1] >> 31 == key[1] & (2**31 - 1)
             u, v = compare(fp, None, radius) if same else compare(fp[side == 0], fp[side == 1], radius)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         key, held = None, []
         for batch in batches:
-            tile, part, side, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if not len(tile):
+            grp, part, side, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(grp):
                 continue
-            edge = np.flatnonzero((tile[1:] != tile[:-1]) | (part[1:] != part[:-1])) + 1
-            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(tile)], strict=True):
-                mine = (int(tile[i]), int(part[i]))
+            edge = np.flatnonzero((grp[1:] != grp[:-1]) | (part[1:] != part[:-1])) + 1
+            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(grp)], strict=True):
+                mine = (int(grp[i]), int(part[i]))
                 if mine != key:
                     yield from done(key, held)
                     key, held = mine, []
                 held.append((side[i:j].copy(), fp[i:j].astype(np.int64).view(np.uint64)))
         yield from done(key, held)
 
-    return dealt.repartition("tiles", "parts").sortWithinPartitions("tiles", "parts").mapInArrow(run, "u long, v long")
+    return dealt.repartition("grp", "parts").sortWithinPartitions("grp", "parts").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:

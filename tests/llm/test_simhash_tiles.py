@@ -38,6 +38,23 @@ def test_matches_brute_force(spark):
     assert [got[i]["component_id"] for i in ids] == slow_components(ids, prints)
 
 
+@pytest.mark.parametrize(("group", "chunk", "radius"), [(4, 1000, 3), (50, 7, 3), (10**9, 1000, 3), (16, 9, 5), (4, 5, 0)])
+def test_links_connect_what_brute_force_connects(spark, group, chunk, radius):
+    rng = np.random.default_rng(group + radius)
+    seeds = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fp = seeds[rng.integers(0, 40, 500)]
+    for _ in range(3):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64))
+    fp = np.unique(fp)
+    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    got = {r["node"]: r["root"] for r in st.components(st.links(df, radius, chunk, group)).collect()}
+    a, b = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius)
+    nodes, roots = st._forest(a, b)
+    groups = lambda pairs: sorted(sorted(n for n, r in pairs if r == root) for root in {r for _, r in pairs})
+    want = groups([(int(fp.view(np.int64)[n]), int(r)) for n, r in zip(nodes, roots, strict=True)])
+    assert groups([(int(x), got.get(int(x), int(x))) for x in fp.view(np.int64)]) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert st.near_duplicates(df).collect() == []
