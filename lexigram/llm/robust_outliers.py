@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexigram.llm import bytewords as bw
 from lexigram.llm.common import cut, slices, text_buffer
@@ -41,6 +42,8 @@ FLOOR = 0.04
 #: Rows further away than this are rejected (Mahalanobis distance, scaled to the median row).
 CUTOFF = 6.5
 LEAST_ROWS = 200
+#: Width of a histogram's bins (of statistics, and of the logarithm of squared distances), and what the logarithm starts at.
+STEP, LEAST_D2 = 0.02, 0.01
 _BROADCAST_GROUPS = 20_000
 
 
@@ -206,6 +209,34 @@ def _distance2() -> Column:
     return total
 
 
+def _level(d2: Column) -> Column:
+    """Squared distances on the scale whose histogram is taken."""
+    return F.log(d2 + LEAST_D2)
+
+
+def _bin(value: Column) -> Column:
+    return F.ceil(value / STEP).cast("long")
+
+
+def _quantile(rows: DataFrame, by: list[str], share: float) -> DataFrame:
+    """``by, bin``: the bin of ``v`` in which the share of each group's rows is reached.
+
+    A histogram combined before the shuffle; a window sees the bins of a group, about a
+    thousand, however many rows it has.
+    """
+    bins = rows.groupBy(*by, _bin(F.col("v")).alias("bin")).agg(F.count("*").alias("rows"))
+    whole = F.sum("rows").over(Window.partitionBy(*by))
+    upto = F.sum("rows").over(Window.partitionBy(*by).orderBy("bin"))
+    return bins.withColumns({"whole": whole, "upto": upto}).where(F.col("upto") >= share * F.col("whole")).groupBy(*by).agg(F.min("bin").alias("bin"))
+
+
+def _by_dim(rows: DataFrame, name: str) -> DataFrame:
+    """``grp`` and the medians of all dimensions as an array, from rows ``(grp, dim, v)``."""
+    mid = _quantile(rows, ["grp", "dim"], 0.5)
+    cells = F.sort_array(F.collect_list(F.struct("dim", (F.col("bin") * STEP).alias("q"))))
+    return mid.groupBy("grp").agg(F.transform(cells, lambda c: c["q"]).alias(name))
+
+
 def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF, share: float = SHARE, steps: int = STEPS, least_rows: int = LEAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: the counts, ``base_failed``, ``distance`` and ``kept``.
 
@@ -228,21 +259,21 @@ def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF, share: float = SHAR
     points = cut(usable.withColumns({"l": tag("lang"), "s": tag("source")}).join(side, ["l", "s"]).select("grp", F.array(*features()).alias("x")))
 
     # start: medians and median deviations in each dimension
-    x = F.col("x")
-    mid = points.groupBy("grp").agg(F.array(*[F.percentile_approx(x[i], 0.5, 1000) for i in range(DIMS)]).alias("mid"))
-    off = _attach(points, mid, n).select("grp", "x", "mid", F.array(*[F.abs(x[i] - F.col("mid")[i]) for i in range(DIMS)]).alias("off"))
-    mad = off.groupBy("grp", "mid").agg(F.array(*[F.percentile_approx(F.col("off")[i], 0.5, 1000) for i in range(DIMS)]).alias("mad"))
+    mid = _by_dim(points.select("grp", F.posexplode("x").alias("dim", "v")), "mid")
+    off = F.zip_with("x", "mid", lambda x, m: F.abs(x - m))
+    mad = _by_dim(_attach(points, mid, n).select("grp", F.posexplode(off).alias("dim", "v")), "mad")
     scale = lambda i: F.pow(1.4826 * F.col("mad")[i], 2) + FLOOR
     diagonal = F.array(*[1 / scale(i) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)])
-    params = cut(mad.select("grp", F.col("mid").alias("mean"), diagonal.alias("inv")))
+    params = cut(mid.join(mad, "grp").select("grp", F.col("mid").alias("mean"), diagonal.alias("inv")))
     for _ in range(steps + 1):
-        near = _attach(points, params, n).select("grp", "x", _distance2().alias("d2"))
-        edge = near.groupBy("grp").agg(F.percentile_approx("d2", share, 1000).alias("edge"))
-        core = _attach(near, edge, n).where(F.col("d2") <= F.col("edge"))
+        near = _attach(points, params, n).select("grp", "x", _level(_distance2()).alias("v"))
+        edge = _quantile(near, ["grp"], share).withColumnRenamed("bin", "edge")
+        core = _attach(near, edge, n).where(_bin(F.col("v")) <= F.col("edge"))
         params = cut(_precision(_moments(core)))
     # scale: the median squared distance becomes that of the chi-square law of DIMS degrees
     typical = DIMS * (1 - 2 / (9 * DIMS)) ** 3
-    mid2 = _attach(points, params, n).groupBy("grp").agg(F.percentile_approx(_distance2(), 0.5, 1000).alias("mid2"))
+    middle = _quantile(_attach(points, params, n).select("grp", _level(_distance2()).alias("v")), ["grp"], 0.5)
+    mid2 = middle.select("grp", (F.exp(F.col("bin") * STEP) - LEAST_D2).alias("mid2"))
     scaled = cut(params.join(mid2, "grp").select("grp", "mean", "inv", F.greatest(F.col("mid2") / typical, F.lit(1.0)).alias("c")))
 
     rows = stats.withColumns({"base_failed": base_failed(), "l": tag("lang"), "s": tag("source")})

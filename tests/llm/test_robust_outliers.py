@@ -63,16 +63,19 @@ def test_distance_matches_numpy(spark):
     got = {r["doc_id"]: r["distance"] for r in ro.robust_outliers(df).collect()}
     stats = ro.statistics(df).where(~ro.base_failed()).select("doc_id", *[c.alias(f"f{i}") for i, c in enumerate(ro.features())]).toPandas()
     x = stats[[f"f{i}" for i in range(ro.DIMS)]].to_numpy()
-    low = lambda v, p: np.sort(v)[max(0, int(np.ceil(p * len(v))) - 1)]
-    mean = np.array([low(c, 0.5) for c in x.T])
-    inv = np.diag([1 / ((1.4826 * low(np.abs(c - m), 0.5)) ** 2 + ro.FLOOR) for c, m in zip(x.T, mean, strict=True)])
+    bins = lambda v: np.ceil(v / ro.STEP).astype(int)
+    low = lambda v, p: np.sort(bins(v))[int(np.ceil(p * len(v))) - 1]
+    level = lambda d2: np.log(d2 + ro.LEAST_D2)
+    mean = np.array([low(c, 0.5) * ro.STEP for c in x.T])
+    inv = np.diag([1 / ((1.4826 * low(np.abs(c - m), 0.5) * ro.STEP) ** 2 + ro.FLOOR) for c, m in zip(x.T, mean, strict=True)])
     for _ in range(ro.STEPS + 1):
-        d2 = np.einsum("ni,ij,nj->n", x - mean, inv, x - mean)
-        core = x[d2 <= low(d2, ro.SHARE)]
+        d2 = level(np.einsum("ni,ij,nj->n", x - mean, inv, x - mean))
+        core = x[bins(d2) <= low(d2, ro.SHARE)]
         mean = core.mean(0)
         inv = np.linalg.inv(np.cov(core.T, bias=True) + ro.FLOOR * np.eye(ro.DIMS))
     d2 = np.einsum("ni,ij,nj->n", x - mean, inv, x - mean)
-    c = max(1.0, low(d2, 0.5) / (ro.DIMS * (1 - 2 / (9 * ro.DIMS)) ** 3))
+    middle = np.exp(low(level(d2), 0.5) * ro.STEP) - ro.LEAST_D2
+    c = max(1.0, middle / (ro.DIMS * (1 - 2 / (9 * ro.DIMS)) ** 3))
     assert np.allclose([got[i] for i in stats["doc_id"]], np.sqrt(d2 / c), rtol=1e-6)
 
 
