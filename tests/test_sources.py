@@ -154,7 +154,7 @@ def test_prefix_setting_and_window_filter(spark, vert):
 
 
 def test_settings():
-    assert corpus_name("/a/b/susanne.vert.gz") == "susanne.vert"
+    assert corpus_name("/a/b/corp.vert.gz") == "corp.vert"
     assert BuildConf.of({"inputFilePath": "/d/x.txt", "sourceType": "plain"}).out_dir == "/d"
     for bad in ({"inputFilePath": "x", "sourceType": "no"}, {"sourceType": "plain"}, {"inputFilePath": "x", "sourceType": "plain", "typo": 1}, {"inputFilePath": "x", "sourceType": "plain", "args": {"a": "col9"}}):
         with pytest.raises(ValueError):
