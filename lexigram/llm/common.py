@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session wrote, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, computed once, without its lineage."""
     shared_dir(df.sparkSession)

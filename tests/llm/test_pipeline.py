@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 import corpus_pipeline
@@ -50,7 +52,10 @@ def test_each_stage_takes_effect(spark, made, tmp_path):
 
 def test_run_and_queries(spark, made):
     where, _ = made
-    assert corpus_pipeline.run(spark, where).count() > 100
+    out = corpus_pipeline.run(spark, where)
+    assert out.count() > 100
+    folder = os.path.dirname(os.path.dirname(out.inputFiles()[0].removeprefix("file://")))
+    assert os.listdir(folder) == ["segmentation"]
     assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
