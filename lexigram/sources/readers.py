@@ -17,15 +17,18 @@ from lexigram.operators.windows import numbered
 
 _ID = r"^[A-Za-z_][A-Za-z0-9_]*$"
 _LINE = r"^</?[A-Za-z_]"
+SPREAD_BYTES = 32 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Deals rows out to all cores where their source has fewer pieces than there are cores; else as they are.
+    """Deals the rows of a small table (under ``SPREAD_BYTES`` a core) out to all cores.
 
-    A table in many pieces, as any large one, is never shuffled by this.
+    Pieces of a Parquet file are no measure: all rows may lie in one row group, which one task
+    reads.  Larger tables stay as they are and are never shuffled by this.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
 
 
 def table_tokens(rows: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -198,3 +198,10 @@ def test_streaming_counts(spark, tmp_path):
     got = {(r["t1"], r["t2"]): r["count"] for r in spark.sql("select * from grams").collect()}
     assert got == {("a", "b"): 3, ("b", "a"): 2}
     assert F is not None
+
+
+def test_only_small_tables_are_spread(spark, monkeypatch):
+    small = spark.range(50).coalesce(1)
+    assert readers.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(readers, "SPREAD_BYTES", 10)
+    assert readers.spread(small).rdd.getNumPartitions() == 1
