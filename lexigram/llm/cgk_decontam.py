@@ -11,8 +11,12 @@ it lies within floor(m / 5) word edits of the item (similarity 0.8).
   3m symbols: it writes the current word, then goes on or stays as a random function of step
   and word says.  Few edits give few differing symbols.
 - Each of ``tables`` hash tables samples a few symbols of one of the walks.  How many tables
-  a block of items needs is measured: items are edited at random up to the limit and
-  tables added until ``recall`` of them are found.
+  the items of a size need is measured: items are edited at random up to the limit, by each
+  kind of edit alone and all mixed, and tables added until ``recall`` of every kind are found.
+- Sizes that ``MOST_TABLES`` don't bring there, and those over ``LONGEST``, are sought without
+  tables: d edits spoil at most d q of an item's rows of q words, and the rest stand in the text
+  moved by offsets that differ by d at most.  Where so many are left, the item is verified;
+  this loses nothing.
 - Candidates are verified by the exact edit distance of the item to any stretch nearby.
 
 Items are searched in blocks of bounded size, each against all documents.  Items under
@@ -37,6 +41,9 @@ LEAST_WORDS = 5
 RECALL = 0.98
 #: Symbols that a table samples; walks; most tables.
 SAMPLED, WALKS, MOST_TABLES = 3, 8, 96
+#: Words of the longest items that are sought by tables; edits of each kind that measure a size.
+LONGEST, TRIALS = 400, 120
+EDITS = ("replace", "insert", "delete", "mixed")
 #: Words of the items in a block, and windows embedded at once.
 BLOCK_WORDS, WINDOWS = 1 << 20, 1 << 17
 _U = np.uint64
@@ -123,6 +130,16 @@ def distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     return row
 
 
+def _edited(item: np.ndarray, kind: int, rng: np.random.Generator) -> np.ndarray:
+    """The item with as many random edits of a kind as the limit allows."""
+    words, n = item.tolist(), limit(len(item))
+    kinds = rng.integers(0, 3, n) if EDITS[kind] == "mixed" else np.full(n, kind)
+    for k, part, new in zip(kinds.tolist(), rng.random(n).tolist(), rng.integers(0, 2**63, n).tolist(), strict=True):
+        at = int(part * len(words))
+        words[at : at + (EDITS[k] != "insert")] = [] if EDITS[k] == "delete" else [new]
+    return np.array(words, np.uint64)
+
+
 class Block:
     """A bounded block of items, ready to be sought in texts."""
 
@@ -136,43 +153,42 @@ class Block:
                 keys = [_grams(words[i], q) for i in mine]
                 values = [(np.full(len(k), i, np.int64) << 32) + np.arange(len(k)) for i, k in zip(mine, keys, strict=True)]
                 self.grams[q] = Lookup(np.concatenate(keys), np.concatenate(values))
-        self.tables = self._needed(recall) if ids else 0
+        #: Tables for each item size; 0 where the items are sought by counted grams.
+        self.tables = {}
         keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for m, mine, flat, start in self._by_size():
-            got = embed(flat, start, start + m, m, self.tables)
-            keys.append(got.ravel())
-            values.append(np.repeat(mine, self.tables))
+            n = self.tables[m] = self._needed(m, mine, recall)
+            if n:
+                keys.append(embed(flat, start, start + m, m, n).ravel())
+                values.append(np.repeat(mine, n))
         self.lookup = Lookup(np.concatenate(keys), np.concatenate(values))
+        self.counted = np.array([not self.tables[m] for m in self.size.tolist()], bool)
 
     def _by_size(self) -> Iterator[tuple]:
         for m in np.unique(self.size).tolist():
             mine = np.flatnonzero(self.size == m)
             yield m, mine, np.concatenate([self.items[i] for i in mine]), np.arange(len(mine)) * m
 
-    def _needed(self, recall: float) -> int:
-        """Tables that find ``recall`` of items edited up to the limit."""
-        rng = np.random.Generator(np.random.PCG64(7))
-        found = []
-        for m, mine, flat, start in self._by_size():
-            whole = embed(flat, start, start + m, m, MOST_TABLES)
-            for k in rng.permutation(len(mine))[:40].tolist():
-                for _ in range(3):
-                    edited = self.items[mine[k]].copy()
-                    for _ in range(limit(m)):
-                        at, kind, new = rng.integers(0, len(edited)), rng.integers(0, 3), rng.integers(0, 2**63, dtype=np.uint64)
-                        if kind == 0:
-                            edited[at] = new
-                        elif kind == 1:
-                            edited = np.insert(edited, at, new)
-                        else:
-                            edited = np.delete(edited, at)
-                    hit = embed(edited, np.array([0]), np.array([min(m, len(edited))]), m, MOST_TABLES)[0] == whole[k]
-                    found.append(int(np.argmax(hit)) if hit.any() else MOST_TABLES)
-        return int(min(MOST_TABLES, np.quantile(found, recall) + 1))
-
-    def _windows(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
-        """Item size and different window starts that the pigeonhole principle leaves."""
-        by_size: dict[int, list[np.ndarray]] = {}
+    def _needed(self, m: int, mine: np.ndarray, recall: float) -> int:
+        """Tables that find ``recall`` of items of size m edited up to the limit, by each kind of edit; 0 if too many."""
+        if m > LONGEST:
+            return 0
+        rng = np.random.Generator(np.random.PCG64(7 + m))
+        some = rng.permutation(mine)[:40]
+        whole = embed(np.concatenate([self.items[i] for i in some]), np.arange(len(some)) * m, np.arange(1, len(some) + 1) * m, m, MOST_TABLES)
+        which = np.resize(np.arange(len(some)), max(TRIALS, len(some)))
+        most = 0
+        for kind in range(len(EDITS)):
+            edited = [_edited(self.items[some[k]], kind, rng) for k in which]
+            size = np.array([len(w) for w in edited])
+            start = np.cumsum(size) - size
+            hit = embed(np.concatenate(edited), start, start + np.minimum(size, m), m, MOST_TABLES) == whole[which]
+            first = np.sort(np.where(hit.any(1), hit.argmax(1), MOST_TABLES))
+            most = max(most, int(first[int(np.ceil(recall * len(first))) - 1]) + 1)
+        return most if most <= MOST_TABLES else 0
+
+    def _hits(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
+        """Text, item and the item's start (by the place in it) of all rows of q item words."""
         text_of = None
         for q, lookup in self.grams.items():
             where, value = lookup.find(_grams(words, q))
@@ -182,27 +198,58 @@ class Block:
                 text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
             inside = text_of[where] == text_of[where + q - 1]
             where, value = where[inside], value[inside]
-            size = self.size[value >> 32]
-            first = where - (value & 0xFFFFFFFF)
-            for m in np.unique(size).tolist():
+            yield q, text_of[where], value >> 32, where - (value & 0xFFFFFFFF)
+
+    def _windows(self, hits: list[tuple], at: np.ndarray) -> Iterator[tuple]:
+        """Item size and different window starts that the pigeonhole principle leaves."""
+        by_size: dict[int, list[np.ndarray]] = {}
+        for _, text, item, first in hits:
+            size = np.where(self.counted[item], 0, self.size[item])
+            for m in np.unique(size[size > 0]).tolist():
                 mine = size == m
                 d = limit(m)
                 spread = first[mine][:, None] + np.arange(-d, d + 1)[None, :]
-                low, high = at[text_of[where[mine]]][:, None], at[text_of[where[mine]] + 1][:, None]
+                low, high = at[text[mine]][:, None], at[text[mine] + 1][:, None]
                 by_size.setdefault(m, []).append(np.unique(spread[(spread >= low) & (spread < high)]))
         for m, starts in by_size.items():
             starts = np.unique(np.concatenate(starts))
-            stop = np.minimum(starts + m, at[text_of[starts] + 1])
+            text = np.searchsorted(at, starts, "right") - 1
+            stop = np.minimum(starts + m, at[text + 1])
             for i in range(0, len(starts), WINDOWS):
-                yield m, starts[i : i + WINDOWS], stop[i : i + WINDOWS], text_of[starts[i : i + WINDOWS]]
+                yield m, starts[i : i + WINDOWS], stop[i : i + WINDOWS], text[i : i + WINDOWS]
+
+    def _enough(self, hits: list[tuple]) -> Iterator[tuple]:
+        """Text, item and starts where as many of its grams lie close by as the edits must leave."""
+        for q, text, item, first in hits:
+            mine = self.counted[item]
+            text, item, first = text[mine], item[mine], first[mine]
+            if not len(first):
+                continue
+            order = np.lexsort((first, item, text))
+            text, item, first = text[order], item[order], first[order]
+            m = self.size[item]
+            d = m // 5
+            group = np.cumsum(np.r_[0, (np.diff(text) != 0) | (np.diff(item) != 0)])
+            place = group * (int(first.max() - first.min()) + int(d.max()) + 1) + first - first.min()
+            end = np.searchsorted(place, place + d, "right")
+            enough = end - np.arange(len(place)) >= m - q + 1 - d * q
+            change = np.zeros(len(place) + 1, np.int64)
+            np.add.at(change, np.flatnonzero(enough), 1)
+            np.add.at(change, end[enough], -1)
+            kept = np.cumsum(change[:-1]) > 0
+            yield text[kept], item[kept], first[kept]
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, end word) of the best stretch for each text and item."""
         found: dict[tuple[int, int], list[int]] = {}
-        for m, start, stop, text in self._windows(words, at):
-            keys = embed(words, start, stop, m, self.tables)
-            where, item = self.lookup.find(keys.ravel())
-            for pair in np.unique(np.stack([text[where // self.tables], item, start[where // self.tables]]), axis=1).T.tolist():
+        hits = list(self._hits(words, at))
+        near = list(self._enough(hits))
+        for m, start, stop, text in self._windows(hits, at):
+            n = self.tables[m]
+            where, item = self.lookup.find(embed(words, start, stop, m, n).ravel())
+            near.append((text[where // n], item, start[where // n]))
+        for some in near:
+            for pair in np.unique(np.stack(some), axis=1).T.tolist():
                 found.setdefault((pair[0], pair[1]), []).append(pair[2])
         out = []
         for (text, item), starts in found.items():

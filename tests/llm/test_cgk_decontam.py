@@ -93,3 +93,16 @@ def test_empty_tables(spark):
     assert cd.matches(d, b).collect() == [] and cd.decontaminate(d, b).collect() == []
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert cd.matches(one, b.limit(0)).collect() == [] and cd.decontaminate(one, b.limit(0)).count() == 1
+
+
+def test_long_items_are_found_by_every_kind_of_edit():
+    rng = np.random.default_rng(5)
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    items = [new(m) for m in [15] * 60 + [60, 200, 400, 450]]
+    block = cd.Block(list(range(len(items))), items)
+    for kind in range(len(cd.EDITS)):
+        for i in range(60, len(items)):
+            texts = [np.concatenate([new(30), cd._edited(items[i], kind, rng), new(30)]) for _ in range(10)]
+            got = block.matches(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+            assert len({t for t, k, *_ in got if k == i}) >= 9, (kind, len(items[i]))
+            assert all(k == i and d <= len(items[i]) // 5 for _, k, d, *_ in got)
