@@ -188,3 +188,45 @@ def folded(buf: np.ndarray) -> np.ndarray:
     after = after[(buf[after] >= 0x80) & (buf[after] <= 0x9E) & (buf[after] != 0x97)]
     low[after] += 32
     return low
+
+
+#: First and last characters of scripts that put no spaces between words: Thai to Tibetan, Myanmar, Khmer, Tai, Balinese,
+#: Javanese, Han and its radicals, kana, Bopomofo, Yi (fixed values of Unicode); and of their punctuation.
+_UNSPACED = (
+    (0x0E01, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F),
+    (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_PUNCTUATION = ((0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0x30A0, 0x30A0), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _among(code: np.ndarray, ranges: tuple) -> np.ndarray:
+    ranges = np.array(ranges)
+    at = np.searchsorted(ranges[:, 0], code, "right") - 1
+    return (at >= 0) & (code <= ranges[at, 1])
+
+
+def plain_spans(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each plain word; a character of an unspaced script is a word of its own."""
+    keep = IS_PLAIN[buf]
+    start, end = spans(keep, at)
+    lead = np.flatnonzero((buf == 0xE0) | (buf == 0xE1) | (buf >= 0xE2) & (buf <= 0xF3))
+    if not len(lead):
+        return start, end
+    tail = np.r_[buf, np.zeros(3, np.uint8)]
+    b0, b1, b2, b3 = (tail[lead + i].astype(np.int64) & 63 for i in range(4))
+    long = buf[lead] >= 0xF0
+    code = np.where(long, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3, (b0 & 15) << 12 | b1 << 6 | b2)
+    mark = _among(code, _PUNCTUATION)
+    alone = _among(code, _UNSPACED) & ~mark
+    if not (mark | alone).any():
+        return start, end
+    size = 3 + long.astype(np.int64)
+    gone = lead[mark]
+    for i in range(3):
+        keep[gone + i] = False
+    start, end = spans(keep, at)
+    # words also part before and after a character that stands alone
+    first, last = lead[alone], (lead + size)[alone]
+    starts = np.concatenate([start, first, last[np.r_[keep, False][last]]])
+    ends = np.concatenate([end, last, first[np.r_[False, keep][first]]])
+    return np.unique(starts), np.unique(ends)

@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 Texts and items are sequences of plain words (runs of letters and digits, lower case, other
-characters part them).  A document is contaminated by an item of m words if some stretch of
+characters part them; a character of a script without spaces, such as Han, kana or Thai, is a
+word of its own).  A document is contaminated by an item of m words if some stretch of
 it lies within floor(m / 5) word edits of the item (similarity 0.8).
 
 - Windows: by the pigeonhole principle such a stretch holds three item words in a row (two
@@ -19,9 +20,9 @@ it lies within floor(m / 5) word edits of the item (similarity 0.8).
   this loses nothing.
 - Candidates are verified by the exact edit distance of the item to any stretch nearby.
 
-Items are searched in blocks of bounded size, each against all documents.  Items under
-``least_words`` words can't be told from ordinary text and are left out.  Null or empty
-texts match nothing; a null id is a row like others; repeated rows match each; an empty
+Items are searched in blocks of bounded size, each against all documents.  Items under five
+words allow no edit and are sought as they are; only those under ``least_words`` words are left
+out, by default those without any.  Null or empty texts match nothing; a null id is a row like others; repeated rows match each; an empty
 table on either side gives no match.  Other columns pass through ``decontaminate`` unchanged.
 """
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from lexigram.llm import bytewords as bw
 from lexigram.llm.common import slices, text_buffer
 
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 RECALL = 0.98
 #: Symbols that a table samples; walks; most tables.
 SAMPLED, WALKS, MOST_TABLES = 3, 8, 96
@@ -56,7 +57,7 @@ def word_hashes(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         words = np.concatenate([word_hashes(buf[a:b], np.array([0, b - a]))[0] for a, b in cuts])
         return words, np.array([0, len(words)])
     low = bw.folded(buf)
-    start, end = bw.spans(bw.IS_PLAIN[buf], at)
+    start, end = bw.plain_spans(buf, at)
     return bw.mix(bw.Hasher(low)(start, end) + (end - start).astype(np.uint64)), np.searchsorted(start, at)
 
 
@@ -147,8 +148,8 @@ class Block:
         self.ids, self.items = ids, words
         self.size = np.array([len(w) for w in words], np.int64)
         self.grams = {}
-        for q in (2, 3):
-            mine = [i for i, w in enumerate(words) if (len(w) < 10) == (q == 2)]
+        for q in (1, 2, 3):
+            mine = [i for i, w in enumerate(words) if len(w) and (1 if len(w) == 1 else 2 if len(w) < 10 else 3) == q]
             if mine:
                 keys = [_grams(words[i], q) for i in mine]
                 values = [(np.full(len(k), i, np.int64) << 32) + np.arange(len(k)) for i, k in zip(mine, keys, strict=True)]
@@ -171,7 +172,7 @@ class Block:
 
     def _needed(self, m: int, mine: np.ndarray, recall: float) -> int:
         """Tables that find ``recall`` of items of size m edited up to the limit, by each kind of edit; 0 if too many."""
-        if m > LONGEST:
+        if not limit(m) or m > LONGEST:
             return 0
         rng = np.random.Generator(np.random.PCG64(7 + m))
         some = rng.permutation(mine)[:40]
@@ -268,6 +269,8 @@ class Block:
                     a, b = x, y
             stretches.append((a, b))
             for a, b in stretches:
+                if best is not None and not best[0]:
+                    break
                 row = distances(words_i, words[a:b])
                 k = int(np.argmin(row))
                 if row[k] <= d and (best is None or row[k] < best[0]):

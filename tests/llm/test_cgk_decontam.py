@@ -106,3 +106,27 @@ def test_long_items_are_found_by_every_kind_of_edit():
             got = block.matches(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
             assert len({t for t, k, *_ in got if k == i}) >= 9, (kind, len(items[i]))
             assert all(k == i and d <= len(items[i]) // 5 for _, k, d, *_ in got)
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    han = "今天天气很好，我们一起去公园散步。晚上回家吃饭！"
+    thai, kana = "วันนี้อากาศดีมาก", "これはテストの文章です。とても短い"
+    items = ["What is 2+2?", "yes", "42 is", han, thai, kana, "不", "—?—"]
+    docs = [
+        "so, WHAT is 2 2, then", "what is 2", "Yes!", "yesterday", "is 42 so 42, is", "前言" + han.replace("公园", "花园") + "abc", "x" + thai + "y", "a" + kana[:3] + "b" + kana,
+        "对不起", "今天天气很好", "한국어 문장", "“no”", "", None,
+    ]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in cd.matches(d, b).collect()}
+    assert got == {(0, 0): 0, (2, 1): 0, (4, 2): 0, (5, 3): 1, (6, 4): 0, (7, 5): 0, (8, 6): 0}
+    assert {r["doc_id"] for r in cd.decontaminate(d, b).collect()} == {1, 3, 9, 10, 11, 12, 13}
+
+
+def test_characters_of_unspaced_scripts_are_words():
+    texts = ["ab今日cd、ＡＢ　é€", "中", "文x", "x’y 한글 😀𠀀b", "", "。", "ก1"]
+    buf, at = text_buffer(pa.array(texts))
+    start, end = cd.bw.plain_spans(buf, at)
+    words = [buf[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)]
+    assert words == ["ab", "今", "日", "cd", "ＡＢ", "é€", "中", "文", "x", "x’y", "한글", "😀", "𠀀", "b", "ก", "1"]
+    assert np.diff(np.searchsorted(start, at)).tolist() == [6, 1, 2, 5, 0, 0, 2]
