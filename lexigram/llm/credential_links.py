@@ -1,8 +1,8 @@
 """Secrets in texts: patterns that stand alone, and multipart credentials by an interval join.
 
 Strong spans (``assign``, ``access``, ``hex``) are always reported.  Weak candidates are
-not secrets by themselves: a login name (``login``), a mixed 20 to 64 character key without a
-name (``key``), a password inside an address (``userinfo``).  They are reported only where
+not secrets by themselves: a login name (``login``), a mixed key of 20 characters or more without
+a name (``key``), a password inside an address (``userinfo``).  They are reported only where
 complementary parts meet in a scope: every identifier (an access id or a login) opens one that
 reaches ``SCOPE`` code points to both sides, and so does every endpoint.
 
@@ -43,8 +43,9 @@ def _either(words: str) -> str:
 _ASSIGN = re.compile(f"({_either('password|passwd|secret|token|api_?key')})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")  # runs are taken whole, so shorter ones needn't be found
-_LOGIN = re.compile(f"(?:{_either('user|username|login|client_?id|access_?key(?:_?id)?|account')})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9@._-]{{3,}})")
-_KEY = re.compile("(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{20,64}(?![A-Za-z0-9+/])")
+_LOGIN = re.compile(f"(?:{_either('user|username|login|client_?id|access_?key(?:_?id)?|account(?:_?name)?')})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9@._-]{{3,}})")
+# runs are taken whole, however long; one behind "=" counts too, since padding and a name's sign look alike
+_KEY = re.compile("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}")
 _ADDRESS = re.compile("[A-Za-z][A-Za-z0-9+.-]*://[^\\s\"'<>]+")
 _USERINFO = re.compile("://([^/\\s:@]*):([^/\\s@]+)@")
 
