@@ -51,9 +51,10 @@ def _lines(spark: SparkSession, path: str, charset: str) -> DataFrame:
     if name == "utf-8":
         raw = spark.read.text(path)
         return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("key"), F.col("value").alias("line"))
-    # other charsets are read file by file, since a piece of a file needn't start at a character
-    raw = spark.read.format("binaryFile").load(path)
-    text = raw.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("at"), decoded(F.col("content"), charset).alias("text"))
+    # other charsets are read file by file, since a piece of a file needn't start at a character; the text source
+    # decompresses (binaryFile doesn't) and hands the bytes on as they are
+    raw = spark.read.text(path, wholetext=True)
+    text = raw.select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("at"), decoded(F.col("value").cast("binary"), charset).alias("text"))
     return text.select("file", "at", F.posexplode(F.split("text", "\r?\n")).alias("key", "line"))
 
 

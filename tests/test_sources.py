@@ -99,6 +99,21 @@ def test_plain_sources(spark, tmp_path, kind):
     assert [r["tok"] for r in got] == ["lorem", "ipsum", "dolor", "sit", "amet", "žluťoučký", "kůň"]
 
 
+@pytest.mark.parametrize("charset", ["iso-8859-1", "windows-1250", "utf-16"])
+@pytest.mark.parametrize("kind", ["gz", "bz2", "txt"])
+def test_compressed_sources_in_other_charsets(spark, tmp_path, charset, kind):
+    pack = {"gz": gzip.compress, "bz2": bz2.compress, "txt": bytes}[kind]
+    words = [["straße", "über"], ["\xf6l", "más"]] if charset == "iso-8859-1" else [["žluťoučký", "kůň"], ["öl", "řeka"]]
+    for i, (a, b) in enumerate(words):
+        (tmp_path / f"c{i}.{kind}").write_bytes(pack(f"{a} x,\r\n{b}\n".encode(charset)))
+        (tmp_path / f"v{i}.{kind}").write_bytes(pack(f'<doc file="{a}">\n{a}\tN\n{b}\tN\n</doc>\n'.encode(charset)))
+    (tmp_path / f"c2.{kind}").write_bytes(pack(b""))
+    rows = readers.plain(spark, f"{tmp_path}/c*", charset).orderBy("file", "pos").collect()
+    assert [r["tok"] for r in rows] == [t for a, b in words for t in (a, "x", b)] and len({r["file"] for r in rows}) == 2
+    rows = readers.vertical(spark, f"{tmp_path}/v*", ["doc.file"], charset, tag_column=1, breaks=False).orderBy("file", "pos").collect()
+    assert [(r["tok"], r["tag"], r["doc_file"]) for r in rows] == [(t, "N", a) for a, b in words for t in (a, b)]
+
+
 def test_charsets():
     assert check_charset("") == "utf-8"
     with pytest.raises(ValueError):
