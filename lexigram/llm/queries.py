@@ -69,7 +69,7 @@ def op5_lattice_sampling(spark: SparkSession, sf_dir: str, model: str | None = N
 
 def op6_token_binary(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = token_binary.new_path(spark)
-    token_binary.write(table(spark, sf_dir, "documents"), vocabulary or _vocabulary("byte_bpe_50k.json"), path)
+    token_binary.write(table(spark, sf_dir, "documents"), vocabulary or _vocabulary("byte_bpe_50k.json"), path, added_tokens=True)
     return token_binary.read(spark, path)
 
 

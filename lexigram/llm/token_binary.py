@@ -17,6 +17,9 @@ writes and commits like any other table, so a lost executor's work is done again
 Null texts count as empty (only the end id), null document ids come first, repeated ids stay
 in the order of their texts; a text with more ids than an image's limit has an image of its
 own; an empty table gives no image.  Other columns are never read.
+
+A text that quotes a special token of the vocabulary, such as ``<|endoftext|>``, is encoded by
+its characters; with ``added_tokens`` the quote becomes that token, as the library has it by default.
 """
 
 from __future__ import annotations
@@ -171,16 +174,18 @@ class Encoder:
     The vocabulary's own splitting rule never joins text across a single space or line feed
     between visible characters, so each such piece is encoded once and its ids are reused,
     found again by a 64-bit hash of its bytes and length.  Texts with white space of two or
-    more characters, or other than ASCII, are encoded whole.  Pieces kept from earlier texts
-    are bounded by ``keep``.
+    more characters, or other than ASCII, and those that quote an added token are encoded
+    whole.  Pieces kept from earlier texts are bounded by ``keep``.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 1_500_000, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.keep = keep
+        #: Added tokens that the library looks for in texts; it always does for those that aren't special.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (added_tokens or not t.special)]
         names = self.tokenizer.get_vocab()
         n = max(names.values()) + 1
         self.begins, self.line = np.zeros(n, bool), np.zeros(n, bool)
@@ -256,14 +261,32 @@ class Encoder:
         self.seen = np.insert(self.seen, at, keys)
         self.flat = np.r_[self.flat, rows]
 
+    def _quotes(self, raw: bytes, at: np.ndarray) -> np.ndarray:
+        """Texts in which the library may find an added token; all where one holds white space, as gluing could make it."""
+        out = np.zeros(len(at) - 1, bool)
+        for token in self.added:
+            if any(c.isspace() for c in token):
+                out[:] = True
+            sought = token.encode()
+            place = raw.find(sought)
+            while place >= 0:
+                text = int(np.searchsorted(at, place, "right")) - 1
+                end = int(at[text + 1])
+                inside = place + len(sought) <= end
+                out[text] |= inside
+                place = raw.find(sought, end if inside else place + 1)
+        return out
+
     def encode(self, buf: np.ndarray, at: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a buffer, each with the end id, and how many each text has."""
         n, n_texts = len(buf), len(at) - 1
-        if n_texts == 1 and len(cuts := bw.pieces_if_long(buf)) > 1:
+        raw = buf.tobytes()
+        quotes = self._quotes(raw, at)
+        if n_texts == 1 and not quotes[0] and len(cuts := bw.pieces_if_long(buf)) > 1:
             if not any(_odd_texts(buf[a:b], np.array([0, b - a]))[0] for a, b in cuts):
                 ids = np.concatenate([self.encode(buf[a:b], np.array([0, b - a]), None)[0] for a, b in cuts] + [np.array([] if end_id is None else [end_id], np.uint32)])
                 return ids, np.array([len(ids)])
-        odd = np.flatnonzero(_odd_texts(buf, at))
+        odd = np.flatnonzero(_odd_texts(buf, at) | quotes)
         begin = (buf == 0x20) | (buf == 0x0A)
         begin[1:] |= buf[:-1] == 0x0A
         first = at[:-1]
@@ -274,7 +297,6 @@ class Encoder:
         start, end = start[~inside], end[~inside]
         keys = bw.mix(bw.Hasher(buf)(start, end) + (end - start).astype(np.uint64))
         unique, lead, back = np.unique(keys, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
         for _ in range(2):
             place = np.searchsorted(self.seen, unique)
             known = np.zeros(len(unique), bool)
@@ -308,17 +330,18 @@ class Encoder:
         return flat, counts
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, added_tokens: bool = False) -> Encoder:
     """One in each worker process, which Spark uses again for further tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, added_tokens
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, added_tokens=added_tokens)
+    return _encoders[key]
 
 
-def images(docs: DataFrame, vocabulary: str, end_id: int = END_ID, image_ids: int = IMAGE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def images(docs: DataFrame, vocabulary: str, end_id: int = END_ID, image_ids: int = IMAGE_IDS, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Shard images in ascending order of ids: ``part, seq, n_docs, n_ids, image``."""
     read = id_and_text(docs, id_col, text_col)
     ranged = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -326,7 +349,7 @@ def images(docs: DataFrame, vocabulary: str, end_id: int = END_ID, image_ids: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = _encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(vocabulary, added_tokens), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         n = 0
 

@@ -91,3 +91,25 @@ def test_image_documents():
 def test_empty_table(spark, tmp_path):
     tb.write(spark.createDataFrame([], "doc_id long, text string"), VOCAB, f"{tmp_path}/t")
     assert tb.read(spark, f"{tmp_path}/t").collect() == []
+
+
+def test_query_encodes_quoted_tokens_as_the_library_does(spark, tmp_path):
+    from lexigram.llm import queries
+
+    texts = ["ab <|endoftext|> cd", "plain words", "<|endoftext|>", "x<|endoftext|><|endoftext|>.\ny", "<|endoftext", "|> a", "", "<|endoftext|> " + "w " * 3000, "end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    whole, start = Tokenizer.from_file(VOCAB), 0
+    got = sorted(map(tuple, queries.op6_token_binary(spark, str(tmp_path)).collect()))
+    assert whole.encode(texts[0], add_special_tokens=False).ids == [397, 220, 50256, 22927]
+    for i, t in enumerate(texts):
+        ids = whole.encode(t, add_special_tokens=False).ids + [2]
+        assert got[i] == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_long_texts_that_quote_tokens(monkeypatch):
+    whole = Tokenizer.from_file(VOCAB)
+    monkeypatch.setattr(tb.bw, "LONG", 400)
+    for text in ("some words " * 200 + "<|endoftext|> z", "some words " * 200):
+        e = tb.Encoder(VOCAB, added_tokens=True)
+        assert e.encode(*text_buffer(pa.array([text])), None)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
