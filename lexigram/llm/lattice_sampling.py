@@ -7,7 +7,8 @@ model has ranks, not probabilities), so a larger ``theta`` prefers fewer, common
 - Lattice: nodes are byte positions, edges are pieces (a space stands for the file's word
   mark) and, where a character is no piece, its single bytes.  No piece crosses the start of
   a run of spaces or a line feed, so the lattice of a text falls into independent units
-  there, and equal units share theirs.  Units over ``UNIT_BYTES`` are cut at a character.
+  there, and equal units share theirs.  Units over ``UNIT_BYTES`` fall apart further, at all
+  characters that no edge crosses; one without such a place stays whole, however long.
 - Forward filtering sums the weights of all segmentations up to each node, in logarithms.
 - Backward sampling walks from a unit's end, choosing an incoming edge with its posterior
   probability.  The random numbers are hashes of the row's key, the unit's number in the
@@ -146,9 +147,10 @@ class Lattices:
         pos, size_of, piece = np.concatenate(froms), np.concatenate(lens), np.concatenate(ids)
         of = unit[pos]
         to = within[pos] + size_of
-        # by end position, then unit: two stable passes over 16-bit keys
+        # by end position, then unit: two stable passes over 16-bit keys, wider ones where a unit is longer
         order = np.argsort(of.astype(np.uint16), kind="stable")
-        order = order[np.argsort(to[order].astype(np.uint16), kind="stable")]
+        ends = to[order]
+        order = order[np.argsort(ends.astype(np.uint16) if len(size) and size.max() < 1 << 16 else ends, kind="stable")]
         of, to, size_of, piece = of[order], to[order], size_of[order], piece[order]
         target = self.base[of] + to
         source = target - size_of
@@ -219,8 +221,26 @@ class Lattices:
         return out, counts
 
 
-def units(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where no piece crosses: before a run of spaces, and before and after a line feed."""
+def _uncrossed(pieces: Pieces, byte: np.ndarray) -> np.ndarray:
+    """The characters of a unit, but the first, whose start no edge of its lattice crosses."""
+    at = np.flatnonzero((byte & 0xC0) != 0x80)
+    reach = np.arange(1, len(byte) + 1)
+    reach[at] = np.r_[at[1:], len(byte)]
+    alive, state, depth = at, np.ones(len(at), np.int64), 0
+    kinds = pieces.kind[byte]
+    while len(alive):
+        state = pieces.next[state * pieces.width + kinds[alive + depth]].astype(np.int64)
+        alive, state = alive[state > 0], state[state > 0]
+        depth += 1
+        hit = alive[pieces.piece[state] >= 0]
+        reach[hit] = np.maximum(reach[hit], hit + depth)
+        go = alive + depth < len(byte)
+        alive, state = alive[go], state[go]
+    return at[1:][np.maximum.accumulate(reach)[at[1:] - 1] <= at[1:]]
+
+
+def units(pieces: Pieces, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where no piece crosses: before a run of spaces, before and after a line feed, and more places in long units."""
     n = len(buf)
     cut = buf == 0x20
     cut[1:] &= buf[:-1] != 0x20
@@ -233,14 +253,7 @@ def units(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = np.r_[start[1:], n] if len(start) else start
     long = np.flatnonzero(end - start > UNIT_BYTES)
     if len(long):
-        more = []
-        for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True):
-            while e - s > UNIT_BYTES:
-                s += UNIT_BYTES
-                while buf[s] & 0xC0 == 0x80:
-                    s -= 1
-                more.append(s)
-        start = np.union1d(start, more)
+        start = np.unique(np.concatenate([start] + [s + _uncrossed(pieces, buf[s:e]) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]))
         end = np.r_[start[1:], n]
     return start, end
 
@@ -256,12 +269,12 @@ def encode_texts(pieces: Pieces, buf: np.ndarray, at: np.ndarray, keys: np.ndarr
         for low, high in cuts:
             ends = np.array([0, high - low])
             found.append(encode_texts(pieces, buf[low:high], ends, keys, done)[0])
-            done += len(units(buf[low:high], ends)[0])
+            done += len(units(pieces, buf[low:high], ends)[0])
         out = np.concatenate(found)
         return out, np.array([len(out)])
     if not len(buf):
         return np.zeros(0, np.int32), np.zeros(n_texts, np.int64)
-    start, end = units(buf, at)
+    start, end = units(pieces, buf, at)
     hashes = bw.mix(bw.Hasher(buf)(start, end) + (end - start).astype(np.uint64))
     _, lead, back = np.unique(hashes, return_index=True, return_inverse=True)
     text = np.repeat(np.arange(n_texts), bw.counts(start, at))

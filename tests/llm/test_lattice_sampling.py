@@ -92,3 +92,15 @@ def test_frame_round_trip(spark):
     assert sorted(map(key, made.collect())) == sorted(map(key, ls.encode(df.repartition(3), MODEL).collect()))
     assert ls.encode(df.limit(0), MODEL).collect() == []
     assert sorted(map(key, ls.encode(df, MODEL, seed=1).collect())) != sorted(map(key, made.collect()))
+
+
+def test_long_units_are_sampled_whole(monkeypatch):
+    text = "the" * 3000
+    bounds = [set(np.cumsum(PIECES.size[s]).tolist()) for s in sampled([text] * 30)]
+    for at in (4096, 8192):
+        assert any(at not in b for b in bounds)
+    wide = "x" * 70000 + "é"
+    got = sampled([wide])[0]
+    assert ls.decode_ids(PIECES, got, np.array([len(got)])) == [wide.encode()]
+    monkeypatch.setattr(ls, "UNIT_BYTES", 2)
+    test_samples_follow_the_exact_posterior()
