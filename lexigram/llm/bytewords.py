@@ -9,11 +9,6 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = {}
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,15 +17,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits whose output bits depend on all input bits."""
     x = x ^ (x >> U64(32))
@@ -40,25 +26,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class Hasher:
-    """64-bit hashes of any spans of ``buf``: equal spans, equal hashes."""
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, and from the end, as little-endian integers; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    seen = np.lib.stride_tricks.as_strided(padded, (len(buf) + 1, 8), (1, 1))
+    return np.ascontiguousarray(seen).view("<u8").ravel()
 
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * powers(_BASE, n), dtype=np.uint64, out=self.sums[1:])
-        self.shift = powers(_INVERSE, n + 1)
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.shift[start]
+def gathered(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all spans, one after another."""
+    return buf[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
-def one_hash(word: bytes) -> int:
-    """The hash that :class:`Hasher` gives this span."""
-    total = 0
-    for i, b in enumerate(word):
-        total += int(_BYTE[b]) * pow(_BASE, i, 2**64)
-    return total % 2**64
+def same(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``a`` and of ``b``, equal in size, hold the same bytes."""
+    differ = gathered(a, a_start, size) != gathered(b, b_start, size)
+    if not differ.any():
+        return np.ones(len(size), bool)
+    upto = np.r_[0, np.cumsum(differ)]
+    ends = np.cumsum(size)
+    return upto[ends] == upto[ends - size]
 
 
 def spans(keep: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,16 +80,22 @@ def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 LONG = 1 << 22
 
 
-def pieces(buf: np.ndarray, limit: int | None = None) -> list[tuple[int, int]]:
-    """Neighbouring pieces of one text, each cut before a space between two visible bytes."""
+def pieces(buf: np.ndarray, limit: int | None = None, unspaced: bool = False) -> list[tuple[int, int]]:
+    """Neighbouring pieces of one text, each cut before a space or line feed between two visible bytes.
+
+    With ``unspaced`` also before kana and the commoner Han characters, each of which is a plain word.
+    """
     limit = limit or LONG // 4
     n, low, out = len(buf), 0, []
     while low < n:
         high, look = low + limit, max(limit // 4, 64)
         while high < n - 1:
             part = buf[high - 1 : high + look + 1]
-            solid = IS_WORD_BYTE[part]
-            cut = np.flatnonzero((part[1:-1] == 0x20) & solid[:-2] & solid[2:])
+            solid, here = IS_WORD_BYTE[part], part[1:-1]
+            fits = ((here == 0x20) | (here == 0x0A)) & solid[:-2] & solid[2:]
+            if unspaced:  # U+3040 to U+30FF and U+5000 to U+9FFF by their first bytes
+                fits |= (here >= 0xE5) & (here <= 0xE9) | (here == 0xE3) & (part[2:] >= 0x81) & (part[2:] <= 0x83)
+            cut = np.flatnonzero(fits)
             if len(cut):
                 high += int(cut[0])
                 break
@@ -114,9 +107,9 @@ def pieces(buf: np.ndarray, limit: int | None = None) -> list[tuple[int, int]]:
     return out
 
 
-def pieces_if_long(buf: np.ndarray) -> list[tuple[int, int]]:
+def pieces_if_long(buf: np.ndarray, unspaced: bool = False) -> list[tuple[int, int]]:
     """The pieces of a text over the limit; one piece for others, and where a text has no place to cut."""
-    return pieces(buf) if len(buf) > LONG else [(0, len(buf))]
+    return pieces(buf, unspaced=unspaced) if len(buf) > LONG else [(0, len(buf))]
 
 
 # Constants of the public XXH64 definition (fixed values).
@@ -146,9 +139,7 @@ def xxh64(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 42)
         return out
     order = short[np.argsort(size[short].astype(np.uint8), kind="stable")]
     pos, left = start[order], size[order]
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(padded, (len(buf) + 1, 8), (1, 1))
-    eight = np.ascontiguousarray(eight).view("<u8").ravel()
+    padded, eight = np.concatenate([buf, np.zeros(8, np.uint8)]), eights(buf)
     acc = left.astype(np.uint64) + U64((seed + _P5) % 2**64)
     for k in (8, 16, 24):
         i = int(np.searchsorted(left, k))
@@ -175,6 +166,18 @@ def xxh64(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 42)
     return out
 
 
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans; where a chance clash would matter, compare with :func:`same`."""
+    return xxh64(buf, start, end - start)
+
+
+def one_hash(word: bytes) -> int:
+    """The hash that :func:`hashes` gives this span."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, 42)
+
+
 #: Bytes of plain words: ASCII letters and digits and all of other characters.
 IS_PLAIN = np.zeros(256, bool)
 IS_PLAIN[48:58] = IS_PLAIN[65:91] = IS_PLAIN[97:123] = IS_PLAIN[128:] = True

@@ -53,12 +53,12 @@ _SEED = 0x5DEECE66D
 
 def word_hashes(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the plain words of all texts, and where each text's begin (one more than texts)."""
-    if len(at) == 2 and len(cuts := bw.pieces_if_long(buf)) > 1:
+    if len(at) == 2 and len(cuts := bw.pieces_if_long(buf, unspaced=True)) > 1:
         words = np.concatenate([word_hashes(buf[a:b], np.array([0, b - a]))[0] for a, b in cuts])
         return words, np.array([0, len(words)])
     low = bw.folded(buf)
     start, end = bw.plain_spans(buf, at)
-    return bw.mix(bw.Hasher(low)(start, end) + (end - start).astype(np.uint64)), np.searchsorted(start, at)
+    return bw.hashes(low, start, end), np.searchsorted(start, at)
 
 
 def limit(m: int) -> int:

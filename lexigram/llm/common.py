@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one on a single machine, as in tests, else an error."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lexigram-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -36,6 +39,19 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the driver ends, for results that a returned frame still reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have yet."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, computed once, without its lineage."""
     shared_dir(df.sparkSession)

@@ -275,12 +275,18 @@ def encode_texts(pieces: Pieces, buf: np.ndarray, at: np.ndarray, keys: np.ndarr
     if not len(buf):
         return np.zeros(0, np.int32), np.zeros(n_texts, np.int64)
     start, end = units(pieces, buf, at)
-    hashes = bw.mix(bw.Hasher(buf)(start, end) + (end - start).astype(np.uint64))
-    _, lead, back = np.unique(hashes, return_index=True, return_inverse=True)
+    _, lead, back = np.unique(bw.hashes(buf, start, end), return_index=True, return_inverse=True)
+    size = end - start
+    clash = size != size[lead[back]]
+    whole = np.flatnonzero(~clash)
+    clash[whole] = ~bw.same(buf, start[whole], buf, start[lead[back[whole]]], size[whole])
+    if clash.any():  # units of one hash that differ get lattices of their own
+        back[clash] = len(lead) + np.arange(int(clash.sum()))
+        lead = np.r_[lead, np.flatnonzero(clash)]
     text = np.repeat(np.arange(n_texts), bw.counts(start, at))
     number = np.arange(len(start)) - np.searchsorted(start, at)[text] + done
     seed = bw.mix(bw.mix(keys[text]) + number.astype(np.uint64) * _U(0xD1B54A32D192ED03))
-    rows = np.argsort((back // UNITS).astype(np.uint16), kind="stable")
+    rows = np.argsort(back // UNITS, kind="stable")
     cuts = np.searchsorted(back[rows] // UNITS, np.arange(-(-len(lead) // UNITS) + 1))
     parts, counts = [], np.zeros(len(start), np.int64)
     for k in range(len(cuts) - 1):

@@ -59,22 +59,20 @@ def count_texts(buf: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     out["word_chars"] = bw.per_text(solid & ((buf & 0xC0) != 0x80), at)
     for name, kind in (("n_symbols", _SYMBOL), ("n_upper", _UPPER)):
         out[name] = bw.per_text(kind[buf], at)
-    hashes = bw.Hasher(buf)
 
     first, last = bw.spans(buf != 0x0A, at)
     worded = np.searchsorted(start, last) > np.searchsorted(start, first)
     first, last = first[worded], last[worded]
     out["n_lines"] = bw.counts(first, at)
     owner = np.repeat(np.arange(n_texts, dtype=np.uint64), out["n_lines"])
-    key = bw.mix(hashes(first, last) + bw.mix((last - first).astype(np.uint64) + (owner << np.uint64(32))))
+    key = bw.mix(bw.hashes(buf, first, last) + bw.mix(owner))
     _, lead = np.unique(key, return_index=True)
     again = np.ones(len(key), bool)
     again[lead] = False
     out["n_dup_lines"] = np.bincount(owner[again].astype(np.int64), minlength=n_texts)
 
     owner = np.repeat(np.arange(n_texts, dtype=np.uint64), words)
-    word = bw.mix(hashes(start, end) + (end - start).astype(np.uint64))
-    _count_repeats(out, word, owner)
+    _count_repeats(out, bw.hashes(buf, start, end), owner)
     return out
 
 
@@ -111,7 +109,7 @@ def count_long(buf: np.ndarray) -> dict[str, np.ndarray]:
     for low, high in bw.pieces(buf):
         piece, ends = buf[low:high], np.array([0, high - low])
         start, end = bw.spans(bw.IS_WORD_BYTE[piece], ends)
-        words.append(bw.mix(bw.Hasher(piece)(start, end) + (end - start).astype(np.uint64)))
+        words.append(bw.hashes(piece, start, end))
         solid = bw.IS_WORD_BYTE[piece]
         parts.append((len(start), int((solid & ((piece & 0xC0) != 0x80)).sum()), int(_SYMBOL[piece].sum()), int(_UPPER[piece].sum())))
     out = {k: np.zeros(1, np.int64) for k in COUNTS}

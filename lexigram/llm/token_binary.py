@@ -173,7 +173,8 @@ class Encoder:
 
     The vocabulary's own splitting rule never joins text across a single space or line feed
     between visible characters, so each such piece is encoded once and its ids are reused,
-    found again by a 64-bit hash of its bytes and length.  Texts with white space of two or
+    found again by a hash of its bytes, which are then compared; a text with a piece whose
+    hash another has is encoded whole.  Texts with white space of two or
     more characters, or other than ASCII, and those that quote an added token are encoded
     whole.  Pieces kept from earlier texts are bounded by ``keep``.
     """
@@ -195,8 +196,9 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        """Known pieces: ascending hashes, and where in ``flat`` the ids of each are."""
+        """Known pieces: ascending hashes, where in ``flat`` the ids of each are, and where in ``raw`` its bytes."""
         self.seen, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.raw, self.raw_first, self.raw_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -258,8 +260,13 @@ class Encoder:
         at = np.searchsorted(self.seen, keys)
         self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(sizes) - sizes)
         self.size = np.insert(self.size, at, sizes.astype(np.int32))
+        self.raw_first = np.insert(self.raw_first, at, len(self.raw) + np.cumsum(end - start) - (end - start))
+        self.raw_size = np.insert(self.raw_size, at, end - start)
         self.seen = np.insert(self.seen, at, keys)
         self.flat = np.r_[self.flat, rows]
+        self.raw = np.r_[self.raw, bw.gathered(np.frombuffer(raw, np.uint8), start, end - start)]
+
+    _keys = staticmethod(bw.hashes)
 
     def _quotes(self, raw: bytes, at: np.ndarray) -> np.ndarray:
         """Texts in which the library may find an added token; all where one holds white space, as gluing could make it."""
@@ -295,8 +302,7 @@ class Encoder:
         end = np.r_[start[1:], n]
         inside = np.repeat(np.isin(np.arange(n_texts), odd), np.diff(np.searchsorted(start, at)))
         start, end = start[~inside], end[~inside]
-        keys = bw.mix(bw.Hasher(buf)(start, end) + (end - start).astype(np.uint64))
-        unique, lead, back = np.unique(keys, return_index=True, return_inverse=True)
+        unique, lead, back = np.unique(self._keys(buf, start, end), return_index=True, return_inverse=True)
         for _ in range(2):
             place = np.searchsorted(self.seen, unique)
             known = np.zeros(len(unique), bool)
@@ -309,8 +315,14 @@ class Encoder:
             except OverflowError:
                 self._reset()
                 self._learn(raw, unique, start[lead], end[lead])
-        place = np.searchsorted(self.seen, unique)
-        size, from_ = self.size[place].astype(np.int64)[back], self.first[place][back]
+        place = np.searchsorted(self.seen, unique)[back]
+        # a piece that only shares its hash with a known one: its text is encoded whole
+        clash = self.raw_size[place] != end - start
+        equal = np.flatnonzero(~clash)
+        clash[equal] = ~bw.same(buf, start[equal], self.raw, self.raw_first[place[equal]], (end - start)[equal])
+        if clash.any():
+            odd = np.union1d(odd, np.searchsorted(at, start[clash], "right") - 1)
+        size, from_ = self.size[place].astype(np.int64), self.first[place]
         begins = np.cumsum(size) - size
         total = int(size.sum())
         flat = self.flat[np.repeat(from_ - begins, size) + np.arange(total)]

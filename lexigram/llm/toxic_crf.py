@@ -43,14 +43,14 @@ _U = np.uint64
 def tokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Start and end of each token, and its feature keys: word and beginnings (0: too short)."""
     start, end = bw.spans(bw.IS_PLAIN[buf], at)
-    hashes = bw.Hasher(bw.folded(buf))
-    size = end - start
+    low = bw.folded(buf)
+    size, first = end - start, bw.eights(low)[start]
     keys = []
     for k in BEGINNINGS:
         if k == 0:
-            key = bw.mix(hashes(start, end) + _U(1) + (size.astype(np.uint64) << _U(32)))
-        else:
-            key = bw.mix(hashes(start, np.minimum(start + k, end)) + _U(2) + _U(k << 32))
+            key = bw.mix(bw.hashes(low, start, end) + _U(1))
+        else:  # up to eight bytes are a key by themselves
+            key = bw.mix((first & _U(2 ** (8 * k) - 1)) + bw.mix(np.full(1, k, np.uint64)))
             key[size < k] = 0
         keys.append(key)
     return start, end, keys
