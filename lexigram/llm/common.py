@@ -52,6 +52,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of one key that a task may well get, and keys over it that are broadcast at most.
+_HOT_ROWS, _HOT_KEYS = 10_000, 50_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, n: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``side``, which has each of their keys once and in ``n`` how many of ``n_rows`` rows it has.
+
+    Keys of many rows are broadcast: of those over ``n_rows / _HOT_KEYS`` rows there are
+    ``_HOT_KEYS`` at most.  The others are joined by a shuffle in which no key is hot.
+    """
+    hot = F.col(n) > max(_HOT_ROWS, -(-n_rows // _HOT_KEYS))
+    if n_rows <= _HOT_ROWS:
+        return rows.join(side.drop(n), key)
+    few = F.broadcast(side.where(hot).drop(n))
+    rest = rows.join(few.select(key), key, "left_anti").join(side.where(~hot).drop(n), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, computed once, without its lineage."""
     shared_dir(df.sparkSession)

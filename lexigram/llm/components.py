@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step takes the least neighbour of every node (an aggregation that is combined
-before the shuffle) and joins it back, so no node's neighbours are ever gathered in
-one place.  Every round is cut by a checkpoint in the shared folder.
+before the shuffle) and joins it back; nodes with very many neighbours are joined by a
+broadcast of bounded size, so no node's neighbours are ever gathered in one place.
+Every round is cut by a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigram.llm.common import cut
+from lexigram.llm.common import cut, join_hot
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    larger = both.where("v > u").join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    larger = join_hot(both.where("v > u"), least, "u", "n", 2 * n)
     return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Edges hold the larger node in ``u``."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(edges, least, "u", "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -41,7 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        after = cut(_small_star(_large_star(now)))
+        after = cut(_small_star(_large_star(now, mark[0]), mark[0]))
         was, mark, now = mark, _mark(after), after
         if was == mark:
             break

@@ -1,12 +1,17 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 ``fingerprints`` makes one 64-bit SimHash a text; ``links`` finds all pairs of different
-fingerprints within the radius exactly.  They are dealt into groups that agree in the low bits
-of a band (two within the radius agree in a band, by the pigeonhole principle), and groups
-into tiles.  Within a group, numpy exclusive-ors and counts bits tile by tile, skipping pairs
-of tiles whose population counts differ beyond the radius (the counts of the four quarters,
-each differing bit changes one of them by one).  A group yields a spanning forest of its
-links, never all pairs, and :mod:`lexigram.llm.components` joins the forests.
+fingerprints within the radius exactly:
+
+- They are dealt into groups of about ``GROUP`` that agree in the low bits of a band (two
+  within the radius agree in a band, by the pigeonhole principle), and within a group into
+  cells of ``radius + 1`` neighbouring population counts.  A cell meets itself and the cell
+  below; counts further apart differ beyond the radius and never meet.
+- Within a cell, numpy exclusive-ors and counts bits tile by tile.  A differing bit changes
+  the count of one of the four quarters by one, so pairs of tiles whose quarters' counts
+  differ by more than the radius in all are skipped.
+- A cell yields a spanning forest of its links, never all pairs, and
+  :mod:`lexigram.llm.components` joins the forests.
 
 Null or empty texts and texts without a word have fingerprint zero and link to each
 other like any others; a null id is kept as a row of its own; repeated ids keep their
@@ -24,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigram.llm import bytewords as bw
-from lexigram.llm.common import cut, id_and_text, slices, text_buffer
+from lexigram.llm.common import cut, fresh, id_and_text, join_hot, slices, text_buffer
 from lexigram.llm.components import components
 
 SHINGLE_WORDS = 3
 RADIUS = 3
-#: Fingerprints aimed at for a group, most that are compared together, and in a tile.
-GROUP, CHUNK, BLOCK = 2048, 32768, 512
+#: Fingerprints aimed at for a group, most of a cell that are compared together, and in a tile.
+GROUP, CHUNK, BLOCK = 32768, 32768, 256
 #: A lane of 16 bits counts this many shingles at least without overflow.
 _LANE = 60000
 _LOW16 = np.uint64(0x0001000100010001)
@@ -145,40 +150,39 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[label]
 
 
-def _blocks(fp: np.ndarray) -> list[tuple]:
-    """Sorted by the bit counts of quarters; with the least and greatest count of each quarter."""
-    if not len(fp):
-        return []
-    quarters = np.stack([np.bitwise_count((fp >> np.uint64(16 * i)) & np.uint64(0xFFFF)) for i in range(4)]).astype(np.int16)
-    order = np.lexsort(quarters[::-1])
-    fp, quarters = fp[order], quarters[:, order]
-    return [(fp[i : i + BLOCK], quarters[:, i : i + BLOCK].min(1), quarters[:, i : i + BLOCK].max(1)) for i in range(0, len(fp), BLOCK)]
+def _tiles(fp: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Tiles of neighbouring quarters' bit counts, with the least and greatest counts of each."""
+    quarters = np.stack([np.bitwise_count((fp >> np.uint64(16 * i)) & np.uint64(0xFFFF)) for i in range(4)], 1).astype(np.int16)
+    halves = quarters[:, ::2] + quarters[:, 1::2]
+    order = np.lexsort((quarters[:, 2], quarters[:, 0], halves[:, 1], halves[:, 0]))
+    fp, bounds = fp[order], np.c_[quarters, halves][order]
+    first = np.arange(0, len(fp), BLOCK)
+    return [fp[i : i + BLOCK] for i in first], np.minimum.reduceat(bounds, first, 0), np.maximum.reduceat(bounds, first, 0)
+
+
+def tile_pairs(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, int]:
+    """Tiles of both sides, the pairs that population counts leave, and how many there are without them."""
+    one = _tiles(left)
+    two = one if right is None else _tiles(right)
+    apart = np.maximum(np.maximum(one[1][:, None] - two[2][None], two[1][None] - one[2][:, None]), 0)
+    whole = np.ones(apart.shape[:2], bool) if right is not None else np.triu(np.ones(apart.shape[:2], bool))
+    near = whole & (apart[..., :4].sum(2) <= radius) & (apart[..., 4:].sum(2) <= radius)
+    return one[0], two[0], np.argwhere(near), int(whole.sum())
 
 
 def compare(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (node, root) of the links between two chunks, or within one if right is None."""
-    one = _blocks(left)
-    two = one if right is None else _blocks(right)
-    us, vs = [], []
-    for i, (a, a_low, a_high) in enumerate(one):
-        found_a, found_b = [], []
-        for b, b_low, b_high in two[i if right is None else 0 :]:
-            if np.maximum(np.maximum(a_low - b_high, b_low - a_high), 0).sum() > radius:
-                continue
-            near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-            x, y = np.nonzero(near)
-            found_a.append(a[x])
-            found_b.append(b[y])
-            if sum(map(len, found_a)) > 1 << 20:
-                node, root = _forest(np.concatenate(found_a), np.concatenate(found_b))
-                found_a, found_b = [node], [root]
-        if found_a:
-            node, root = _forest(np.concatenate(found_a), np.concatenate(found_b))
-            us.append(node[node != root])
-            vs.append(root[node != root])
-    if not us or not sum(map(len, us)):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    node, root = _forest(np.concatenate(us), np.concatenate(vs))
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if not len(left) or right is not None and not len(right):
+        return nothing
+    one, two, pairs, _ = tile_pairs(left, right, radius)
+    found = [nothing]
+    for i, j in pairs.tolist():
+        x, y = np.nonzero(np.bitwise_count(one[i][:, None] ^ two[j][None, :]) <= radius)
+        found.append((one[i][x], two[j][y]))
+        if sum(len(f[0]) for f in found) > 1 << 20:
+            found = [_forest(*(np.concatenate(f) for f in zip(*found, strict=True)))]
+    node, root = _forest(*(np.concatenate(f) for f in zip(*found, strict=True)))
     return node[node != root], root[node != root]
 
 
@@ -189,54 +193,71 @@ def _bands(radius: int, bits: int) -> list[tuple[int, int]]:
     return [(a, (1 << min(bits, b - a)) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+#: Cells over a chunk that are broadcast; of more, the table is joined.
+_BROADCAST_CELLS = 50_000
+
+
 def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """Different fingerprints ``fp`` to edges ``(u, v)`` that connect all within the radius.
 
     Two fingerprints within the radius agree in one of radius + 1 bands at least, so they are
     compared exactly where they agree in the low bits of a band: as many bits as make groups
-    of about ``group`` fingerprints, and at most the whole band.  Each fingerprint goes to
-    radius + 1 groups.  A group over ``chunk`` is cut into chunks, every pair of which meets
-    once.
+    of about ``group`` fingerprints, and at most the whole band.  A fingerprint goes to two
+    cells of radius + 1 groups.  A cell over ``chunk`` is cut into parts, every pair of which
+    meets once.
     """
     n = prints.count()
     bits = max(0, round(math.log2(n / group))) if n > group else 0
     bands = _bands(radius, min(bits, 16)) if bits else [(0, 0)]
-    keyed = prints.select("fp", F.explode(F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)) + F.lit(i << 20) for i, (s, m) in enumerate(bands)])).alias("grp"))
-    # the few groups over a chunk; there are (radius + 1) * 65,536 groups at most, whatever the data
-    large = keyed.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("grp", F.ceil(F.col("n") / chunk).cast("int").alias("n_parts"))
-    cut_up = keyed.join(F.broadcast(large), "grp", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
-    own, their = F.col("own"), F.col("their")
-    dealt = (
-        cut_up.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n_parts")).cast("int"))
-        .select("grp", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("their"))
-        .select("grp", (F.least(own, their).cast("long") * F.lit(1 << 31) + F.greatest(own, their)).alias("parts"), (own > their).cast("byte").alias("side"), "fp")
-    )
+    groups = F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)) + F.lit(i << 20) for i, (s, m) in enumerate(bands)])
+    own = F.floor(F.bit_count("fp") / (radius + 1)).cast("long")
+    # side 0 lives in the cell, side 1 comes from the one below
+    at = F.explode(F.array(F.struct(own.alias("cell"), F.lit(0).alias("side")), F.struct((own + 1).alias("cell"), F.lit(1).alias("side"))))
+    keyed = prints.select("fp", at.alias("at"), groups.alias("groups")).select("fp", F.explode("groups").alias("grp"), "at.*")
+    keyed = keyed.select((F.col("grp") * 128 + F.col("cell")).alias("cell"), "side", "fp")
+    # the few cells over a chunk, whatever the data
+    large = cut(keyed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("cell", F.ceil(F.col("n") / chunk).cast("int").alias("n_parts")))
+    n_large = large.count()
+    if n_large:
+        keyed = keyed.join(F.broadcast(large) if n_large <= _BROADCAST_CELLS else large, "cell", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+        mine, their = F.col("mine"), F.col("their")
+        dealt = (
+            keyed.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("n_parts")).cast("int"))
+            .select("cell", "side", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("their"))
+            .select("cell", (F.least(mine, their).cast("long") * F.lit(1 << 31) + F.greatest(mine, their)).alias("parts"), (F.col("side") + 2 * (mine > their).cast("int")).alias("side"), "fp")
+        )
+    else:
+        dealt = keyed.select("cell", F.lit(0).cast("long").alias("parts"), "side", "fp")
+
+    def met(key: tuple, side: np.ndarray, fp: np.ndarray) -> list[tuple]:
+        """Forests of a cell, or of two of its parts: side 0 with itself and with side 1, which met below."""
+        at = [fp[side == k] for k in range(4)]
+        if key[1] >> 31 == key[1] & (2**31 - 1):
+            return [compare(at[0], None, radius), compare(at[0], at[1], radius)]
+        return [compare(at[0], at[2], radius), compare(at[0], at[3], radius), compare(at[2], at[1], radius)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: tuple | None, held: list) -> Iterator[pa.RecordBatch]:
-            if key is None:
-                return
-            side, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            same = key[1] >> 31 == key[1] & (2**31 - 1)
-            u, v = compare(fp, None, radius) if same else compare(fp[side == 0], fp[side == 1], radius)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            if key is not None:
+                for u, v in met(key, *(np.concatenate(x) for x in zip(*held, strict=True))):
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         key, held = None, []
         for batch in batches:
-            grp, part, side, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if not len(grp):
+            cell, part, side, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(cell):
                 continue
-            edge = np.flatnonzero((grp[1:] != grp[:-1]) | (part[1:] != part[:-1])) + 1
-            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(grp)], strict=True):
-                mine = (int(grp[i]), int(part[i]))
+            edge = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1
+            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(cell)], strict=True):
+                mine = (int(cell[i]), int(part[i]))
                 if mine != key:
                     yield from done(key, held)
                     key, held = mine, []
                 held.append((side[i:j].copy(), fp[i:j].astype(np.int64).view(np.uint64)))
         yield from done(key, held)
 
-    return dealt.repartition("grp", "parts").sortWithinPartitions("grp", "parts").mapInArrow(run, "u long, v long")
+    return dealt.repartition("cell", "parts").sortWithinPartitions("cell", "parts").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -245,13 +266,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the least id that links of at most ``radius`` differing bits lead to.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    classes = cut(classes)
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")))
+    n_rows = classes.agg(F.sum("rows")).first()[0] or 0
     roots = components(links(classes.select("fp"), radius, chunk))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", "rows", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    named = join_hot(rooted, least, "root", "members", n_rows).select("fp", "rows", "component_id")
+    out = join_hot(prints, named, "fp", "rows", n_rows)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -261,10 +283,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and text one stays.
     """
     no_id = F.col(id_col).isNull()
-    k1 = F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType))
-    k2 = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), no_id)
-    keyed = docs.select(F.struct(no_id.alias("no_id"), k1.alias("k1"), k2.alias("k2")).alias("id"), F.col(text_col).alias("text"))
-    classes = near_duplicates(keyed, "id", "text", radius, chunk)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.k1").alias("__k1"), F.col("doc_id.k2").alias("__k2"))
-    rows = docs.withColumns({"__k1": k1, "__k2": k2})
-    return rows.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(docs.columns)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the text by 128 bits, so that rows without an id are told apart
+    key = F.struct(no_id.alias("no_id"), F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    name = fresh(docs, "row_key")
+    classes = near_duplicates(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text", radius, chunk)
+    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name))
+    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(docs.columns)

@@ -84,3 +84,33 @@ def test_deduplicate_keeps_one_row_a_group(spark):
     got = st.deduplicate(df)
     assert got.columns == df.columns
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[6], rows[7]]))
+
+
+def test_population_counts_skip_most_tile_pairs():
+    fp = np.random.default_rng(8).integers(0, 2**64, st.GROUP, dtype=np.uint64)
+    left, right, pairs, whole = st.tile_pairs(fp, None)
+    assert len(pairs) < 0.45 * whole
+    cell = fp[np.bitwise_count(fp) // 4 == 8]
+    assert len(st.tile_pairs(cell, None)[2]) < 0.65 * st.tile_pairs(cell, None)[3]
+    # what is skipped holds no link
+    some = np.unique(np.r_[fp[:2000], fp[:2000] ^ np.uint64(5), fp[:500] ^ np.uint64(1 << 63 | 1)])
+    left, right, pairs, _ = st.tile_pairs(some, None)
+    kept = {tuple(p) for p in pairs.tolist()}
+    for i, a in enumerate(left):
+        for j in range(i, len(right)):
+            if (i, j) not in kept:
+                assert not (np.bitwise_count(a[:, None] ^ right[j][None, :]) <= 3).any()
+
+
+def test_joins_spread_hot_keys(spark, monkeypatch):
+    from lexigram.llm import common, components
+
+    monkeypatch.setattr(common, "_HOT_ROWS", 5)
+    monkeypatch.setattr(common, "_HOT_KEYS", 20)
+    texts = ["one and the same text here"] * 60 + [f"text number {i} of its own kind {i * i}" for i in range(60)] + ["one and the same text here now"] * 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in st.near_duplicates(df).collect()}
+    assert [got[i] for i in range(130)] == slow_components(list(range(130)), [slow_fingerprint(t) for t in texts])
+    star = spark.createDataFrame([(0, i) for i in range(1, 80)] + [(i, i + 1) for i in range(200, 230)], "u long, v long")
+    found = {r["node"]: r["root"] for r in components.components(star).collect()}
+    assert found == {i: 0 for i in range(80)} | {i: 200 for i in range(200, 231)}
