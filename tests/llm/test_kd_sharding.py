@@ -38,7 +38,43 @@ def test_splits_lie_along_one_dimension(spark):
 
 
 def test_fewer_rows_than_shards_repeats_and_empty(spark):
-    rows = [(1, "a", "en", "s", 1, 1)] * 3
+    rows = [(1, "a", "en", "s", 1, 1)]
     got = kd.kd_shards(spark.createDataFrame(rows, SCHEMA), n_shards=4).collect()
-    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == [0, 1, 2]
+    assert len(got) == 1 and got[0]["slot"] == 0
     assert kd.kd_shards(spark.createDataFrame([], SCHEMA), n_shards=4).collect() == []
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    rows = [(7, "x" * 100, "en", "s", 1, 1)] * 900 + [(None, None, "en", "s", 1, 1)] * 300 + [(i, "y" * 100, "en", "s", 1, 1) for i in range(100, 200)]
+    sizes = check(rows, kd.kd_shards(spark.createDataFrame(rows, SCHEMA), n_shards=16).collect(), 16)
+    assert max(sizes) - min(sizes) < 0.1 * sum(sizes) / 16
+
+
+def plain_tree(rows, k, whole, first=0):
+    """Shards of rows by a k-d tree in plain Python: widest dimension, weighted median of sizes."""
+    if k == 1:
+        return [(r, first) for r in rows]
+    spread = [max((r[d] >> 24 for r in rows), default=0) - min((r[d] >> 24 for r in rows), default=0) for d in kd._DIMS]
+    d = max(range(3), key=lambda i: spread[i] / whole[i])
+    key = lambda r: (r[kd._DIMS[d]] << 16) + r["place"]
+    rows, goal, run, at = sorted(rows, key=key), sum(r["size"] for r in rows) * (k // 2) / k, 0, 0
+    while at < len(rows):
+        same = [r for r in rows[at:] if key(r) == key(rows[at])]
+        more = sum(r["size"] for r in same)
+        if run + more >= goal:
+            at += len(same) if run + more - goal < goal - run else 0
+            break
+        run, at = run + more, at + len(same)
+    return plain_tree(rows[:at], k // 2, whole, first) + plain_tree(rows[at:], k - k // 2, whole, first + k // 2)
+
+
+def test_equals_a_plain_tree(spark):
+    rows = [(i, "é" * (i * i * 37 % 190), ("en", "fr", "de", None)[i % 4 if i % 3 else 0], "hot" if i % 3 else f"s{i % 7}", 1, 1) for i in range(1500)] + [(3, "", None, None, 1, 1)] * 40
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    at = [r.asDict() for r in kd._positions(df, "doc_id", "text", "lang", "source").collect()]
+    whole = [max(1, max(r[d] >> 24 for r in at) - min(r[d] >> 24 for r in at)) for d in kd._DIMS]
+    for n in (16, 5):
+        want = plain_tree(at, n, whole)
+        got = kd.kd_shards(df, n_shards=n).collect()
+        name = lambda r, s: (r["doc_id"], r["size"], r["text_crc32"], s)
+        assert sorted(name(r, r["shard"]) for r in got) == sorted(name(r, s) for r, s in want)
