@@ -1,6 +1,9 @@
+import itertools
+import math
 import re
 
 import numpy as np
+import pytest
 
 from lexigram.llm import robust_outliers as ro
 
@@ -56,27 +59,52 @@ def test_rejects_planted_outliers_in_each_group(spark):
     assert all(got[r[0]] != r[4] for r in rows)
 
 
-def test_distance_matches_numpy(spark):
+def logdet(x, spread):
+    y = x - x.mean(0)
+    return np.linalg.slogdet((len(x) * (y.T @ y / len(x)) + ro.PRIOR * np.diag(spread)) / (len(x) + ro.PRIOR) + ro.FLOOR * np.eye(x.shape[1]))[1]
+
+
+def test_finds_the_least_determinant_of_all_subsets():
     rng = np.random.default_rng(7)
-    rows = [(i, " ".join("".join(rng.choice(list("abcdeXY12#"), rng.integers(1, 9))) for _ in range(50)), "en", "s") for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r["doc_id"]: r["distance"] for r in ro.robust_outliers(df).collect()}
-    stats = ro.statistics(df).where(~ro.base_failed()).select("doc_id", *[c.alias(f"f{i}") for i, c in enumerate(ro.features())]).toPandas()
-    x = stats[[f"f{i}" for i in range(ro.DIMS)]].to_numpy()
-    bins = lambda v: np.ceil(v / ro.STEP).astype(int)
-    low = lambda v, p: np.sort(bins(v))[int(np.ceil(p * len(v))) - 1]
-    level = lambda d2: np.log(d2 + ro.LEAST_D2)
-    mean = np.array([low(c, 0.5) * ro.STEP for c in x.T])
-    inv = np.diag([1 / ((1.4826 * low(np.abs(c - m), 0.5) * ro.STEP) ** 2 + ro.FLOOR) for c, m in zip(x.T, mean, strict=True)])
-    for _ in range(ro.STEPS + 1):
-        d2 = level(np.einsum("ni,ij,nj->n", x - mean, inv, x - mean))
-        core = x[bins(d2) <= low(d2, ro.SHARE)]
-        mean = core.mean(0)
-        inv = np.linalg.inv(np.cov(core.T, bias=True) + ro.FLOOR * np.eye(ro.DIMS))
-    d2 = np.einsum("ni,ij,nj->n", x - mean, inv, x - mean)
-    middle = np.exp(low(level(d2), 0.5) * ro.STEP) - ro.LEAST_D2
-    c = max(1.0, middle / (ro.DIMS * (1 - 2 / (9 * ro.DIMS)) ** 3))
-    assert np.allclose([got[i] for i in stats["doc_id"]], np.sqrt(d2 / c), rtol=1e-6)
+    for n in (7, 10, 12):
+        x, spread = np.r_[rng.normal(0, 1, (n - 2, ro.DIMS)), rng.normal(6, 2, (2, ro.DIMS))], rng.uniform(0.1, 2, ro.DIMS)
+        h = math.ceil(ro.SHARE * n)
+        least = min(logdet(x[list(c)], spread) for c in itertools.combinations(range(n), h))
+        mean, scatter, got = ro.fast_mcd(x, spread, starts=200)
+        assert got == pytest.approx(least, abs=1e-9)
+        assert np.linalg.slogdet(ro.regularised(scatter, h, spread))[1] == pytest.approx(got)
+
+
+def test_chi_square_values():
+    assert ro.chi_square(0.05) == pytest.approx(12.5916, abs=1e-3) and ro.chi_square(0.001) == pytest.approx(22.4577, abs=1e-3)
+
+
+def test_steps_over_all_rows_reach_the_same_estimate(spark):
+    rng = np.random.default_rng(9)
+    mix = rng.normal(0, 0.5, (ro.DIMS, ro.DIMS))
+    x = np.r_[rng.normal(0, 1, (1300, ro.DIMS)) @ mix, rng.normal(4, 0.3, (200, ro.DIMS))]
+    df = spark.createDataFrame([("g" if i % 2 else "k", v.tolist(), int(p)) for i, (v, p) in enumerate(zip(x, rng.integers(0, 2**30, len(x)), strict=True))], "grp string, x array<double>, place long")
+    sizes = df.groupBy("grp").count().withColumnRenamed("count", "n")
+    got, spread = ro.estimates(df, sizes, 2, sample=150)
+    for r in got.collect():
+        mine = x[1::2] if r["grp"] == "g" else x[::2]
+        mean, scatter, best = ro.fast_mcd(mine, spread, starts=100)
+        assert r["logdet"] <= best + 0.03
+        d2 = lambda m, inv, mine=mine: np.einsum("ni,ij,nj->n", mine - m, inv, mine - m)
+        have = d2(np.array(r["mean"]), np.array(r["inv"]).reshape(ro.DIMS, -1))
+        want = d2(mean, np.linalg.inv(ro.regularised(scatter, math.ceil(0.75 * len(mine)), spread)))
+        assert np.median(np.abs(np.sqrt(have) - np.sqrt(want))) < 0.1
+        assert have[mine.mean(1) > 3].min() > 3 * np.median(have)
+    whole = {r["grp"]: r for r in ro.estimates(df, sizes, 2)[0].collect()}
+    assert whole["g"]["logdet"] == pytest.approx(ro.fast_mcd(x[1::2][np.lexsort(x[1::2].T)], spread)[2])
+
+
+def test_few_rows_and_equal_rows_reject_nobody(spark):
+    rng = np.random.default_rng(2)
+    words = ["alpha", "beta", "gam", "delta", "epsilon", "ze", "eta"]
+    rows = [(i, " ".join(rng.choice(words, 40 + i % 9)), "en", f"s{i // 8}") for i in range(80)] + [(100 + i, "one two three four five six seven eight nine ten eleven", None, None) for i in range(30)]
+    got = ro.robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r["kept"] and r["distance"] is not None for r in got if not r["base_failed"]) and sum(r["base_failed"] for r in got) < 10
 
 
 def test_empty_table(spark):
