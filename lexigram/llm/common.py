@@ -100,3 +100,34 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_
             last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, most_bytes: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray, float | None]:
+    """Texts, labels (0 or 1) and the share of label 1 among all labelled rows (None: there are none), for a model to be fitted on.
+
+    At most ``sample`` documents of each label, those with the least hashes of the id, and of
+    those the first with ``most_bytes`` of text for each label.  An id counts once, however often the tables
+    repeat it (with the least of its texts), and not at all where its labels contradict each other.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    share = known.agg(F.avg("y")).first()[0]
+    if share is None:
+        return [], np.zeros(0, int), None
+    once = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
+    picked = None
+    for y in (0, 1):
+        some = once.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        picked = some if picked is None else picked.union(some)
+    read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = cut(read.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    # a row for each sampled document; the order is that of a hash, so that any part of it is a sample
+    known_rows = rows.select("doc_id", "y", F.octet_length("text").alias("size"), F.xxhash64(F.lit(1), "doc_id").alias("at")).collect()
+    chosen, total = {}, {0: 0, 1: 0}
+    for r in sorted(known_rows, key=lambda r: (r["at"], str(r["doc_id"]))):
+        total[r["y"]] += r["size"]
+        if total[r["y"]] <= most_bytes or total[r["y"]] == r["size"]:
+            chosen[r["doc_id"]] = len(chosen)
+    if len(chosen) < len(known_rows):
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in chosen], rows.select("doc_id").schema)), "doc_id", "left_semi")
+    got = sorted(rows.collect(), key=lambda r: chosen[r["doc_id"]])
+    return [r["text"] for r in got], np.array([r["y"] for r in got], int), float(share)

@@ -2,9 +2,9 @@
 
 Training takes a bounded sample of labelled rows (``SAMPLE`` of each label).  A lexicon of
 words and word beginnings that set toxic documents apart labels their tokens; the field has
-two states, emission weights for lexicon features and transition weights.  Transitions and
-bias are log frequencies of the labelled tokens, emissions maximise the conditional
-likelihood of the token labels (gradient from forward-backward marginals, L2).  A logistic
+two states, transition weights, a bias and emission weights for lexicon features, which
+together maximise the conditional likelihood of the token labels (gradient from
+forward-backward marginals and expected transitions, L2).  A logistic
 curve on the expected number and density of toxic tokens, fitted on sampled rows that the
 field didn't see, gives document scores.
 
@@ -19,7 +19,7 @@ of both labels every score is 0.  Other columns pass through ``reject`` unchange
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigram.llm import bytewords as bw
-from lexigram.llm.common import slices, text_buffer
+from lexigram.llm.common import labelled_sample, slices, text_buffer
 
-#: Labelled rows of each label that the model is fitted on at most.
-SAMPLE = 1500
+#: Labelled rows of each label that the model is fitted on at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 1500, 16 << 20
 #: Lengths of word beginnings in bytes; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6, 7, 8)
 #: A lexicon feature is in so many toxic documents at least, and in this share of them, and so many times likelier there.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.025, 6.0
+#: Weight of the squared emissions, and of the squared distance of transitions and bias from the labels' frequencies.
+RIDGE, RIDGE_MOVES = 0.3, 1.0
+#: Steps of the fit at most, and the gradient (in tokens) at which it ends.
+STEPS, FLAT = 150, 0.05
 THRESHOLD = 0.7
 _U = np.uint64
 
@@ -123,18 +127,43 @@ class Field:
         order = np.argsort(-roots.real)
         roots, vectors = roots.real[order], vectors.real[:, order]
         inverse = np.linalg.inv(vectors)
-        self.ratio = roots[1] / roots[0]
+        self.top, self.ratio = roots[0], roots[1] / roots[0]
         self.lead, self.rest = np.outer(vectors[:, 0], inverse[0]), np.outer(vectors[:, 1], inverse[1])
 
     def over(self, gap: np.ndarray) -> np.ndarray:
         """Scaled matrices of runs of ``gap`` tokens without a feature."""
         return self.lead + np.power(self.ratio, gap.astype(np.float64))[:, None, None] * self.rest
 
+    def _within(self, left: np.ndarray, gap: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Expected transitions in such runs between two vectors, summed."""
+        gap = gap.astype(np.float64)
+        power = np.power(self.ratio, gap)
+        same = gap, gap * np.power(self.ratio, np.maximum(gap - 1, 0))
+        mixed = (1 - power) / (1 - self.ratio)
+        lefts = [left @ part for part in (self.lead, self.rest)]
+        rights = [right @ part.T for part in (self.lead, self.rest)]
+        whole = np.einsum("ni,nij,nj->n", left, self.over(gap), right)
+        total = np.zeros((2, 2))
+        for a in range(2):
+            for b in range(2):
+                total += np.einsum("n,ni,nj->ij", (same[a] if a == b else mixed) / whole, lefts[a], rights[b])
+        return total / self.top * np.exp(self.moves) * np.array([1.0, np.exp(self.bias)])
+
     def marginals(self, m: Marked) -> np.ndarray:
         """Probability of state 1 at each marked token, by forward-backward."""
+        return self.passes(m)[0]
+
+    def passes(self, m: Marked, counts: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+        """Marginals; with ``counts`` also the expected transitions and the logarithm of the sum over all labellings."""
         n = len(m.text)
+        expected, logz = np.zeros((2, 2)), 0.0
+        if counts:
+            bare = m.n_tokens[np.bincount(m.text, minlength=len(m.n_tokens)) == 0]
+            start = np.tile([1.0, 0.0], (len(bare), 1))
+            expected += self._within(start, bare, np.ones_like(start))
+            logz += float(np.log(self.over(bare)[:, 0].sum(1)).sum()) + np.log(self.top) * float(m.n_tokens.sum() - n)
         if not n:
-            return np.zeros(0)
+            return np.zeros(0), expected, logz
         score = self.bias + np.bincount(m.pair_token, self.emissions[m.pair_feature], n)
         emit = np.exp(np.stack([np.minimum(0, -score), np.minimum(0, score)], 1))  # scaled to at most 1
         new = np.r_[True, m.text[1:] != m.text[:-1]]
@@ -146,12 +175,14 @@ class Field:
         by_count = np.argsort(-count, kind="stable")
         first, count, after = first[by_count], count[by_count], after[by_count]
         ahead = np.searchsorted(-count, -np.arange(int(count[0])), "left")  # texts with more than k marked tokens
-        alpha = np.zeros((n, 2))
+        alpha, before, scale = np.zeros((n, 2)), np.zeros((n, 2)), np.ones(n)
         held = np.tile([1.0, 0.0], (len(first), 1))  # texts start outside a span
         for k, a in enumerate(ahead.tolist()):
             here = first[:a] + k
+            before[here] = held[:a]
             held[:a] = np.einsum("ni,nij,njk->nk", held[:a], self.over(gap[here]), step[here])
-            held[:a] /= held[:a].sum(1, keepdims=True)
+            scale[here] = held[:a].sum(1)
+            held[:a] /= scale[here][:, None]
             alpha[here] = held[:a]
         beta = np.zeros((n, 2))
         last = np.einsum("nij->ni", self.over(after))
@@ -161,7 +192,69 @@ class Field:
             back = np.einsum("nij,njk,nk->ni", self.over(gap[here + 1]), step[here + 1], beta[here + 1])
             beta[here] = back / back.sum(1, keepdims=True)
         both = alpha * beta
-        return both[:, 1] / both.sum(1)
+        if counts:
+            ends = alpha[first + count - 1]
+            logz += float(np.log(scale).sum() + np.maximum(0, score).sum() + np.log((ends * last).sum(1)).sum())
+            pair = np.einsum("ni,nij->nj", before, self.over(gap))[:, :, None] * step * beta[:, None, :]
+            expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            expected += self._within(before, gap, np.einsum("nij,nj->ni", step, beta)) + self._within(ends, after, np.ones_like(ends))
+        return both[:, 1] / both.sum(1), expected, logz
+
+
+def likelihood(m: Marked, label: np.ndarray, n_features: int, start: np.ndarray) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """Penalised log-likelihood of the marked tokens' labels (others are 0), and its gradient.
+
+    The parameters are four transitions, the bias and the emissions; ``start`` is what the first five are drawn to.
+    """
+    ones = float(label.sum())
+    follow = (m.text[1:] == m.text[:-1]) & (m.place[1:] == m.place[:-1] + 1)
+    twice = float((label[1:] & label[:-1] & follow).sum())
+    final = float((label & (m.place == m.n_tokens[m.text] - 1)).sum())
+    seen = np.array([[0.0, ones - twice], [ones - twice - final, twice]])
+    seen[0, 0] = m.n_tokens.sum() - seen.sum()
+    target = np.bincount(m.pair_feature, label[m.pair_token].astype(float), n_features)
+    pull = np.r_[np.full(5, RIDGE_MOVES), np.full(n_features, RIDGE)]
+    origin = np.r_[start, np.zeros(n_features)]
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        field = Field(x[:4].reshape(2, 2), float(x[4]), x[5:])
+        p, expected, logz = field.passes(m, counts=True)
+        value = (seen * field.moves).sum() + ones * field.bias + target @ field.emissions - logz
+        had = np.bincount(m.pair_feature, p[m.pair_token], n_features)
+        grad = np.r_[(seen - expected).ravel(), ones - expected[:, 1].sum(), target - had]
+        off = x - origin
+        return float(value - 0.5 * pull @ off**2), grad - pull * off
+
+    return at
+
+
+def climb(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS, flat: float = FLAT) -> np.ndarray:
+    """The place where a concave function is greatest, by limited-memory quasi-Newton steps."""
+    value, grad = f(x)
+    pairs: list[tuple] = []
+    for _ in range(steps):
+        if np.abs(grad).max() < flat:
+            break
+        q, alphas = grad.copy(), []
+        for s, y in reversed(pairs):
+            alphas.append((s @ q) / (s @ y))
+            q -= alphas[-1] * y
+        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, float(np.abs(grad).sum()))
+        for (s, y), alpha in zip(pairs, reversed(alphas), strict=True):
+            q += (alpha - (y @ q) / (s @ y)) * s
+        size = 1.0
+        while True:
+            v, g = f(x + size * q)
+            if v >= value + 1e-4 * size * (grad @ q):
+                break
+            size /= 2
+            if size < 1e-8:
+                return x
+        s, y = size * q, grad - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[-9:], (s, y)]
+        x, value, grad = x + s, v, g
+    return x
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -246,25 +339,14 @@ def fit(texts: list[str], toxic: np.ndarray, base_rate: float) -> Model:
     if not len(chosen):
         return nothing
     lexicon = Weights(chosen, np.zeros(len(chosen)))
+    fits = part < 2
+    m = _marked([t for t, f in zip(texts, fits.tolist(), strict=True) if f], lexicon)
+    label = toxic[fits][m.text]
+    n_tokens, ones = int(m.n_tokens.sum()), int(label.sum())
+    start = np.r_[np.log([1 - (ones + 1) / (n_tokens + 2), (ones + 1) / (n_tokens + 2), 0.5, 0.5]), 0.0]
+    x = climb(likelihood(m, label, len(chosen), start), np.r_[start, np.zeros(len(chosen))])
+    model = Model(lexicon, Field(x[:4].reshape(2, 2), float(x[4]), x[5:]), np.zeros(5))
     m = _marked(texts, lexicon)
-    label = toxic[m.text]
-
-    # label frequencies: pairs of neighbouring states, text by text; unmarked tokens are in state 0
-    fits = part[m.text] < 2
-    n_tokens = int(m.n_tokens[part < 2].sum())
-    ones = int((label & fits).sum())
-    twice = int((label[1:] & label[:-1] & (m.text[1:] == m.text[:-1]) & (m.place[1:] == m.place[:-1] + 1) & fits[1:]).sum())
-    table = np.array([[n_tokens - 2 * ones + twice, ones - twice], [ones - twice, twice]], float) + 1.0
-    moves = np.log(table / table.sum(1, keepdims=True))
-    bias = float(np.log((ones + 1) / (n_tokens + 1)))
-    emissions = np.zeros(len(chosen))
-    weight = np.bincount(m.pair_feature[fits[m.pair_token]], minlength=len(chosen)) + 10.0
-    target = np.bincount(m.pair_feature, (label & fits)[m.pair_token].astype(float), len(chosen))
-    for _ in range(80):
-        p = Field(moves, bias, emissions).marginals(m)
-        expected = np.bincount(m.pair_feature, np.where(fits, p, 0.0)[m.pair_token], len(chosen))
-        emissions += 2.0 * (target - expected - 0.3 * emissions) / weight
-    model = Model(lexicon, Field(moves, bias, emissions), np.zeros(5))
     p = model.field.marginals(m)
     rest = part == 2
     x, y = model.features(m, p)[rest], toxic[rest]
@@ -278,24 +360,9 @@ def held_out(id_col: Column, mod: int, at: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most ``sample`` rows of each label, those with the least hashes of the id."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    rates = known.agg(F.avg("y")).first()[0]
-    if rates is None:
-        return fit([], np.zeros(0), 0.0)
-    picked = None
-    for y in (0, 1):
-        some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        picked = some if picked is None else picked.union(some)
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = read.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").toArrow()  # at most 2 * sample rows
-    order = sorted(range(rows.num_rows), key=lambda i: (hash_order(rows["doc_id"][i].as_py()), rows["y"][i].as_py()))
-    rows = rows.take(pa.array(order, pa.int64()))
-    return fit([t or "" for t in rows["text"].to_pylist()], np.array(rows["y"].to_pylist()) == 1, float(rates))
-
-
-def hash_order(doc_id) -> int:
-    return bw.one_hash(str(doc_id).encode())
+    """Fits on at most ``sample`` rows of each label, those with the least hashes of the id (see ``labelled_sample``)."""
+    texts, y, rate = labelled_sample(docs, labels, sample, SAMPLE_BYTES, id_col, text_col, label_col)
+    return fit(texts, y == 1, rate or 0.0)
 
 
 _SPANS = "array<struct<start:int,end:int,p:double>>"

@@ -1,7 +1,7 @@
 """Quality by compression: which of two zstandard dictionaries suits a text better.
 
-One dictionary is trained on texts labelled good, one on texts labelled bad, from a bounded
-sample of labelled rows (``SAMPLE`` of each label, ``BLOCKS`` blocks spread over each text).
+One dictionary is trained on texts labelled good, one on texts labelled bad, from all blocks
+of a bounded sample of labelled rows (``SAMPLE`` rows and ``SAMPLE_BYTES`` of each label).
 A text is compressed whole, block by block (so that a dictionary helps throughout a long
 text), once with each.  The difference of the sizes, normalised by the size of the text and
 by the compressed sizes, and the rate of compression go through a logistic curve, which is
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigram.llm import bytewords as bw
-from lexigram.llm.common import slices, text_buffer
+from lexigram.llm.common import labelled_sample, slices, text_buffer
 
-SAMPLE = 2000
-#: Bytes of a block, blocks taken from a text for training, bytes of a dictionary, compression level.
-BLOCK, BLOCKS, DICTIONARY, LEVEL = 2000, 4, 64_000, 3
+#: Labelled rows of each label that the model is fitted on at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
+#: Bytes of a block, bytes of a dictionary, compression level.
+BLOCK, DICTIONARY, LEVEL = 2000, 64_000, 3
 THRESHOLD = 0.3
 
 
@@ -35,12 +35,6 @@ def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)] or [b""]
 
 
-def _spread(text: bytes) -> list[bytes]:
-    """Up to ``BLOCKS`` blocks at even distances over the whole text."""
-    all_ = blocks(text)
-    return [all_[i * len(all_) // BLOCKS] for i in range(BLOCKS)] if len(all_) > BLOCKS else all_
-
-
 def _own_lines(texts: list[bytes]) -> list[bytes]:
     """The texts without lines that another of them has too: passages that texts share say nothing of quality."""
     seen: dict[bytes, int] = {}
@@ -58,7 +52,7 @@ def dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(samples)[-DICTIONARY:]
+        return b"\n".join(samples)  # only a few blocks
 
 
 @dataclass
@@ -119,7 +113,7 @@ def fit(texts: list[bytes], good: np.ndarray, share: float) -> Model:
     good = np.asarray(good, bool)
     part = np.arange(len(texts)) % 3  # two thirds for the dictionaries, one for the curve
     own = _own_lines(texts)
-    samples = [[b for i, t in enumerate(own) if good[i] == k and part[i] < 2 for b in _spread(t) if b] for k in (True, False)]
+    samples = [[b for i, t in enumerate(own) if good[i] == k and part[i] < 2 for b in blocks(t) if b] for k in (True, False)]
     rest = part == 2
     if not all(samples) or not good[rest].any() or good[rest].all():
         return Model(b"", b"", np.zeros(0), share)
@@ -131,21 +125,11 @@ def fit(texts: list[bytes], good: np.ndarray, share: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on at most ``sample`` rows of each label, those with the least hashes of the id."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    share = known.agg(F.avg("y")).first()[0]
+    """Fits on at most ``sample`` rows of each label, those with the least hashes of the id (see ``labelled_sample``)."""
+    texts, y, share = labelled_sample(docs, labels, sample, SAMPLE_BYTES, id_col, text_col, label_col)
     if share is None:
         return Model(b"", b"", np.zeros(0), 0.5)
-    picked = None
-    for y in (0, 1):
-        some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        picked = some if picked is None else picked.union(some)
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = read.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").toArrow()  # at most 2 * sample rows
-    names, y = [str(i).encode() for i in rows["doc_id"].to_pylist()], rows["y"].to_pylist()
-    order = sorted(range(len(names)), key=lambda i: (bw.one_hash(names[i]), y[i]))
-    rows = rows.take(pa.array(order, pa.int64()))
-    return fit([(t or "").encode() for t in rows["text"].to_pylist()], np.array(rows["y"].to_pylist()) == 1, float(share))
+    return fit([t.encode() for t in texts], y == 1, share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
