@@ -47,6 +47,8 @@ LONGEST, TRIALS = 400, 120
 EDITS = ("replace", "insert", "delete", "mixed")
 #: Words of the items in a block, and windows embedded at once.
 BLOCK_WORDS, WINDOWS = 1 << 20, 1 << 17
+#: Meetings of words in texts and in items that are held at once.
+MEETINGS = 1 << 22
 _U = np.uint64
 _SEED = 0x5DEECE66D
 
@@ -82,15 +84,25 @@ class Lookup:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(keys >> _U(44)).astype(np.int64)] = True
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index into ``keys`` and value of every meeting."""
+    def _maybe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         maybe = np.flatnonzero(self.bits[(keys >> _U(44)).astype(np.int64)])
-        some = keys[maybe]
-        low, high = np.searchsorted(self.keys, some, "left"), np.searchsorted(self.keys, some, "right")
-        n = high - low
-        total = int(n.sum())
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(total)
-        return np.repeat(maybe, n), self.values[at]
+        low, high = (np.searchsorted(self.keys, keys[maybe], side) for side in ("left", "right"))
+        return maybe, low, high - low
+
+    def meetings(self, keys: np.ndarray) -> int:
+        return int(self._maybe(keys)[2].sum())
+
+    def find(self, keys: np.ndarray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index into ``keys`` and value of every meeting, about ``most`` (and a key's) at a time."""
+        maybe, low, n = self._maybe(keys)
+        upto = np.cumsum(n)
+        first = 0
+        while first < len(n):
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] - n[first] + (most or MEETINGS), "right")))
+            size = n[first:last]
+            at = np.repeat(low[first:last] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            yield np.repeat(maybe[first:last], size), self.values[at]
+            first = last
 
 
 def embed(words: np.ndarray, start: np.ndarray, stop: np.ndarray, m: int, tables: int) -> np.ndarray:
@@ -188,36 +200,44 @@ class Block:
             most = max(most, int(first[int(np.ceil(recall * len(first))) - 1]) + 1)
         return most if most <= MOST_TABLES else 0
 
-    def _hits(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
-        """Text, item and the item's start (by the place in it) of all rows of q item words."""
-        text_of = None
+    def _hits(self, words: np.ndarray, at: np.ndarray, some: tuple[int, int]) -> Iterator[tuple]:
+        """Text, item and the item's start (by the place in it) of all rows of q words of some items."""
+        text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
         for q, lookup in self.grams.items():
-            where, value = lookup.find(_grams(words, q))
-            if not len(where):
-                continue
-            if text_of is None:
-                text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            inside = text_of[where] == text_of[where + q - 1]
-            where, value = where[inside], value[inside]
-            yield q, text_of[where], value >> 32, where - (value & 0xFFFFFFFF)
+            found = []
+            for where, value in lookup.find(_grams(words, q)):
+                inside = text_of[where] == text_of[where + q - 1]
+                inside &= (value >> 32 >= some[0]) & (value >> 32 < some[1])
+                where, value = where[inside], value[inside]
+                found.append((text_of[where], value >> 32, where - (value & 0xFFFFFFFF)))
+            if sum(len(f[0]) for f in found):
+                yield q, *(np.concatenate(f) for f in zip(*found, strict=True))
+
+    def _parts(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of items that are sought one after another, so that the meetings of each are bounded."""
+        n = sum(lookup.meetings(_grams(words, q)) for q, lookup in self.grams.items())
+        parts = min(len(self.ids), -(-n // MEETINGS)) or 1
+        ends = [len(self.ids) * i // parts for i in range(parts + 1)]
+        return list(zip(ends[:-1], ends[1:], strict=True))
 
     def _windows(self, hits: list[tuple], at: np.ndarray) -> Iterator[tuple]:
         """Item size and different window starts that the pigeonhole principle leaves."""
-        by_size: dict[int, list[np.ndarray]] = {}
-        for _, text, item, first in hits:
-            size = np.where(self.counted[item], 0, self.size[item])
-            for m in np.unique(size[size > 0]).tolist():
-                mine = size == m
-                d = limit(m)
-                spread = first[mine][:, None] + np.arange(-d, d + 1)[None, :]
-                low, high = at[text[mine]][:, None], at[text[mine] + 1][:, None]
-                by_size.setdefault(m, []).append(np.unique(spread[(spread >= low) & (spread < high)]))
-        for m, starts in by_size.items():
-            starts = np.unique(np.concatenate(starts))
-            text = np.searchsorted(at, starts, "right") - 1
-            stop = np.minimum(starts + m, at[text + 1])
+        if not hits:
+            return
+        text, item, first = (np.concatenate(h) for h in list(zip(*hits, strict=True))[1:])
+        size = np.where(self.counted[item], 0, self.size[item])
+        order = np.argsort(size, kind="stable")
+        text, first, size = text[order], first[order], size[order]
+        for m in np.unique(size[size > 0]).tolist():
+            mine = slice(*np.searchsorted(size, (m, m + 1)))
+            low = np.maximum(first[mine] - limit(m), at[text[mine]])
+            high = np.maximum(np.minimum(first[mine] + limit(m) + 1, at[text[mine] + 1]), low)
+            open_ = np.bincount(low, minlength=at[-1] + 1) - np.bincount(high, minlength=at[-1] + 1)
+            starts = np.flatnonzero(np.cumsum(open_[:-1]) > 0)
+            of = np.searchsorted(at, starts, "right") - 1
+            stop = np.minimum(starts + m, at[of + 1])
             for i in range(0, len(starts), WINDOWS):
-                yield m, starts[i : i + WINDOWS], stop[i : i + WINDOWS], text[i : i + WINDOWS]
+                yield m, starts[i : i + WINDOWS], stop[i : i + WINDOWS], of[i : i + WINDOWS]
 
     def _enough(self, hits: list[tuple]) -> Iterator[tuple]:
         """Text, item and starts where as many of its grams lie close by as the edits must leave."""
@@ -243,15 +263,17 @@ class Block:
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, end word) of the best stretch for each text and item."""
         found: dict[tuple[int, int], list[int]] = {}
-        hits = list(self._hits(words, at))
-        near = list(self._enough(hits))
-        for m, start, stop, text in self._windows(hits, at):
-            n = self.tables[m]
-            where, item = self.lookup.find(embed(words, start, stop, m, n).ravel())
-            near.append((text[where // n], item, start[where // n]))
-        for some in near:
-            for pair in np.unique(np.stack(some), axis=1).T.tolist():
-                found.setdefault((pair[0], pair[1]), []).append(pair[2])
+        for some in self._parts(words):
+            hits = list(self._hits(words, at, some))
+            near = list(self._enough(hits))
+            for m, start, stop, text in self._windows(hits, at):
+                n = self.tables[m]
+                for where, item in self.lookup.find(embed(words, start, stop, m, n).ravel()):
+                    near.append(tuple(np.unique(np.stack((text[where // n], item, start[where // n])), axis=1)))
+            for pairs in near:
+                for pair in np.unique(np.stack(pairs), axis=1).T.tolist():
+                    found.setdefault((pair[0], pair[1]), []).append(pair[2])
+        found = {pair: sorted(set(starts)) for pair, starts in found.items()}
         out = []
         for (text, item), starts in found.items():
             words_i, m = self.items[item], int(self.size[item])

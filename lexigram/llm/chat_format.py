@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, SEP = "<|im_start|>", "<|im_end|>\n", "<|turn_sep|>"
+#: Texts whose places are summed up together.
+_CHUNK = 256
 _END_RE, _SEP_RE = r"<\|im_end\|>\n", r"<\|turn_sep\|>"
 
 
@@ -77,15 +79,24 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant", id_col:
             ),
         )
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+    # running sums in chunks, since an array that grows turn by turn is copied at every turn
+    convs = convs.select("conv_id", F.array_join(body, "").alias("formatted"), F.flatten(F.transform("messages", pieces)).alias("pieces"))
+    chunk = lambda k: F.slice("pieces", k * _CHUNK + 1, F.lit(_CHUNK))
+    convs = convs.withColumn("chunks", F.when(F.size("pieces") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / _CHUNK).cast("int")), chunk)).otherwise(F.array(F.col("pieces"))))
+    length = lambda p: p["before"] + p["chars"] + p["after"]
+    sums = F.transform("chunks", lambda c: F.aggregate(c, F.lit(0), lambda acc, p: acc + length(p)))
+    begins = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    convs = convs.withColumn("begins", begins)
+
+    zero = lambda at: F.struct(at.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["before"]
         span = F.array(F.struct(start.alias("start"), (start + p["chars"]).alias("end")))
-        return F.struct((start + p["chars"] + p["after"]).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct((acc["at"] + length(p)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(F.flatten(F.transform("messages", pieces)), zero, step, lambda acc: acc["spans"])
-    return convs.select("conv_id", F.array_join(body, "").alias("formatted"), spans.alias("loss_spans"))
+    spans = F.flatten(F.transform("chunks", lambda c, k: F.aggregate(c, zero(F.col("begins")[k]), step, lambda acc: acc["spans"])))
+    return convs.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ reaches ``SCOPE`` code points to both sides, and so does every endpoint.
 
 Parts are rows ``(row, role, start, end)``; scopes are dealt into buckets as long as the
 scope, and semi-joined on row and bucket with the exact overlap, so no pairs are emitted.
-``row`` is a hash of id and text, so it is the same in every pass over the documents.
+``row`` is 128 bits of hashes of id and text, so it is the same in every pass over the documents.
 
 Null texts count as empty and have no span; null ids and repeated rows stay as rows of their
 own; an empty table gives an empty result.  Other columns pass through ``redact`` unchanged.
@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigram.llm.common import cut, slices
+from lexigram.llm.common import cut, fresh, slices
 
 SCOPE = 200
 #: Order of kinds that start at the same place.
 KINDS = ("assign", "access", "hex", "login", "key", "userinfo")
-_BROADCAST_ROWS = 50_000
+#: Rows with links, and links in all, that are broadcast at most.
+_BROADCAST_ROWS, _BROADCAST_SPANS = 50_000, 500_000
 
 
 def _either(words: str) -> str:
@@ -80,8 +81,8 @@ def weak_parts(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str,
     return out + logins
 
 
-def _row() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _row(doc_id: Column, text: Column) -> Column:
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), text, doc_id).alias("b"))
 
 
 _SPAN = "struct<kind:string,start:int,end:int>"
@@ -89,7 +90,7 @@ _SPAN = "struct<kind:string,start:int,end:int>"
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, doc_id, strong, weak``: the spans of every whole text."""
-    read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(_row().alias("row"), "doc_id", "text")
+    read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(_row(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", "text")
     kind = read.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -102,7 +103,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 weak.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in weak_parts(text, spans)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, span), pa.array(weak, span)], ["row", "doc_id", "strong", "weak"])
 
-    return read.mapInArrow(run, f"row long, doc_id {kind}, strong array<{_SPAN}>, weak array<{_SPAN}>")
+    return read.mapInArrow(run, f"row struct<a:long,b:long>, doc_id {kind}, strong array<{_SPAN}>, weak array<{_SPAN}>")
 
 
 def _within(parts: DataFrame, scopes: DataFrame, scope: int) -> DataFrame:
@@ -146,16 +147,18 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, mask: str = "[secret]", scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every reported span of ``text_col`` replaced by ``mask``; null texts stay null."""
     found = cut(extract(docs, id_col, text_col))
-    linked = cut(link(found, scope).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("__linked")).withColumnRenamed("row", "__row"))
-    side = F.broadcast(linked) if linked.count() <= _BROADCAST_ROWS else linked
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(side, "__row", "left").drop("__row")
+    row, more = fresh(docs, "row"), fresh(docs, "linked")
+    linked = cut(link(found, scope).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias(more)).withColumnRenamed("row", row))
+    n_rows, n_spans = linked.agg(F.count("*"), F.sum(F.size(more))).first()
+    side = F.broadcast(linked) if n_rows <= _BROADCAST_ROWS and (n_spans or 0) <= _BROADCAST_SPANS else linked
+    keyed = docs.withColumn(row, _row(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    joined = keyed.join(side, row, "left").select(*docs.columns, more)
     names = docs.columns
     at = names.index(text_col)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text=at, limit=1 << 23):
             out = []
             for text, more in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 spans = [] if text is None else sorted([s[1:] for s in strong_spans(text)] + [(m["start"], m["end"]) for m in more or []])

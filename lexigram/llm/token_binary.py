@@ -10,12 +10,13 @@ each value packed and the rest as a bitmap with a one for each value, about
 2 + log2(u/n) bits a value.  Of every 64th one the position is sampled in 32 bits (relative
 to the sequence), which makes ``select``, and so an offset, a lookup and a short scan.
 
-Documents are dealt by ranges of their id and sorted within; each task encodes its range and
+Documents are dealt by ranges of their id, an integer, and sorted within (a repeated id by a
+hash of its text and its place in the input, so that it may span ranges); each task encodes its range and
 yields images of bounded size as rows ``(part, seq, n_docs, n_ids, image)``, which Spark
 writes and commits like any other table, so a lost executor's work is done again.
 
-Null texts count as empty (only the end id), null document ids come first, repeated ids stay
-in the order of their texts; a text with more ids than an image's limit has an image of its
+Null texts count as empty (only the end id), null document ids come first, repeated ids come
+in the order of a hash of their texts; ids of other types than integers are an error; a text with more ids than an image's limit has an image of its
 own; an empty table gives no image.  Other columns are never read.
 
 A text that quotes a special token of the vocabulary, such as ``<|endoftext|>``, is encoded by
@@ -33,10 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexigram.llm import bytewords as bw
-from lexigram.llm.common import id_and_text, shared_dir, slices, text_buffer
+from lexigram.llm.common import id_and_text, remove_at_exit, shared_dir, slices, text_buffer
 
 END_ID = 2
 #: Ids in an image at most, unless a single document has more.
@@ -356,7 +358,11 @@ def _encoder(path: str, added_tokens: bool = False) -> Encoder:
 def images(docs: DataFrame, vocabulary: str, end_id: int = END_ID, image_ids: int = IMAGE_IDS, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Shard images in ascending order of ids: ``part, seq, n_docs, n_ids, image``."""
     read = id_and_text(docs, id_col, text_col)
-    ranged = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    if not isinstance(read.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("document ids must be integers")
+    # equal rows may lie either way, so their order by place needn't be the same again
+    order = ["doc_id", "hash", "place"]
+    ranged = read.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -391,7 +397,10 @@ def write(docs: DataFrame, vocabulary: str, path: str, **more) -> None:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -402,11 +411,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, image in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 held = Image(image)
-                ends = held.ends.all().astype(np.int64)
+                n = held.n_docs
+                ends = np.fromiter(map(held.ends.select, range(n)), np.int64, n)
                 starts = np.r_[0, ends[:-1]]
                 ids = held.ids.astype("<u4")
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                n = held.n_docs
                 arrays = [pa.array([part] * n), pa.array([seq] * n), pa.array(held.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 

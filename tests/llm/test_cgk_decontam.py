@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lexigram.llm import cgk_decontam as cd
 from lexigram.llm.common import text_buffer
@@ -95,17 +96,35 @@ def test_empty_tables(spark):
     assert cd.matches(one, b.limit(0)).collect() == [] and cd.decontaminate(one, b.limit(0)).count() == 1
 
 
-def test_long_items_are_found_by_every_kind_of_edit():
-    rng = np.random.default_rng(5)
+@pytest.mark.parametrize("m", [5, 9, 60, 120, 200, 300, 600])
+def test_items_of_every_size_are_found_after_every_kind_of_edit(m):
+    rng = np.random.default_rng(m)
     new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
-    items = [new(m) for m in [15] * 60 + [60, 200, 400, 450]]
+    items = [new(k) for k in [15] * 60 + [m] * 5]
     block = cd.Block(list(range(len(items))), items)
     for kind in range(len(cd.EDITS)):
-        for i in range(60, len(items)):
-            texts = [np.concatenate([new(30), cd._edited(items[i], kind, rng), new(30)]) for _ in range(10)]
-            got = block.matches(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
-            assert len({t for t, k, *_ in got if k == i}) >= 9, (kind, len(items[i]))
-            assert all(k == i and d <= len(items[i]) // 5 for _, k, d, *_ in got)
+        want, texts = [], []
+        for i in range(60, 65):
+            for _ in range(12):
+                want.append(i)
+                texts.append(np.concatenate([new(30), cd._edited(items[i], kind, rng), new(30)]))
+        got = block.matches(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+        assert all(k == want[t] and d <= m // 5 for t, k, d, *_ in got)
+        assert len({t for t, *_ in got}) >= 0.95 * len(want), cd.EDITS[kind]
+
+
+def test_common_words_of_many_items_are_met_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    lead = new(4)
+    items = [np.r_[lead, new(k)] for k in [3, 8, 12, 30, 60] * 12]
+    texts = [np.concatenate([lead] * 30 + [new(5), cd._edited(items[i], 0, rng), new(9)]) for i in range(0, 60, 3)]
+    words, at = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    block = cd.Block(list(range(60)), items)
+    want = block.matches(words, at)
+    assert len({(t, i) for t, i, *_ in want if i == 3 * t}) >= 19
+    monkeypatch.setattr(cd, "MEETINGS", 500)
+    assert len(block._parts(words)) > 10 and block.matches(words, at) == want
 
 
 def test_short_items_and_unspaced_scripts(spark):

@@ -49,3 +49,12 @@ def test_odd_roles_nulls_and_ties(spark):
 
 def test_empty_table(spark):
     assert cf.read_back(cf.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
+
+
+def test_spans_of_a_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", "é" * (i % 7) + "<|x|>" * (i % 2)) for i in range(2000)] + [(2, i, "assistant", "ab") for i in range(256)] + [(3, 0, "user", "")]
+    made = cf.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in made.collect()}
+    assert {k: len(r["loss_spans"]) for k, r in got.items()} == {1: sum(i % 3 > 0 for i in range(2000)), 2: 256, 3: 0}
+    unescape = lambda t: t.replace("<\\|", "<|")
+    assert [unescape(got[1]["formatted"][s["start"] : s["end"]]) for s in got[1]["loss_spans"]] == [r[3] for r in rows[:2000] if r[2] == "assistant"]

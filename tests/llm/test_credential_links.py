@@ -100,3 +100,12 @@ def test_keys_behind_a_sign_and_long_keys(spark):
     clean = {r["doc_id"]: r["text"] for r in cl.redact(df).collect()}
     for i, (text, key) in enumerate(rows):
         assert (key in got[i] and key not in clean[i]) if key else not got[i], text
+
+
+def test_clashing_names_and_hashes_of_rows(spark):
+    rows = [(1, 'token = "abcdef0123456789"', "a", "b"), (None, 'token = "abcdef0123456789" x', None, "c"), (2, None, "d", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, linked string")
+    got = cl.redact(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.drop("text").collect())) == sorted(map(str, df.drop("text").collect()))
+    assert sorted(str(r["text"]) for r in got.collect()) == ["None", '[secret]"', '[secret]" x']

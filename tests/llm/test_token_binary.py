@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from lexigram.llm import token_binary as tb
 from lexigram.llm.common import text_buffer
 
@@ -15,6 +17,7 @@ VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def plain():
+    """The library with quotes of added tokens as characters, which the encoder has unless ``added_tokens`` is set."""
     t = Tokenizer.from_file(VOCAB)
     t.encode_special_tokens = True
     return t
@@ -74,7 +77,8 @@ def test_files_read_back(spark, tmp_path):
     tb.write(df, VOCAB, f"{tmp_path}/t", image_ids=50)
     got = tb.read(spark, f"{tmp_path}/t").collect()
     want, start = [], 0
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t, _ in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1] or ""])):
         ids = plain_once().encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -113,3 +117,17 @@ def test_long_texts_that_quote_tokens(monkeypatch):
     for text in ("some words " * 200 + "<|endoftext|> z", "some words " * 200):
         e = tb.Encoder(VOCAB, added_tokens=True)
         assert e.encode(*text_buffer(pa.array([text])), None)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_integers_and_hot_ids_span_ranges(spark, tmp_path):
+    with pytest.raises(TypeError):
+        tb.images(spark.createDataFrame([("a", "b")], "doc_id string, text string"), VOCAB)
+    df = spark.createDataFrame([(5, "same text")] * 400 + [(i, "x") for i in range(3)], "doc_id int, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tb.write(df, VOCAB, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{tmp_path}/t").select("part").distinct().count() > 2
+    got = sorted(map(tuple, tb.read(spark, f"{tmp_path}/t").select("start", "n_tokens", "doc_id").collect()))
+    assert [g[0] for g in got[1:]] == [g[0] + g[1] for g in got[:-1]] and [g[2] for g in got] == [0, 1, 2, *[5] * 400]
