@@ -35,6 +35,7 @@ class BuildConf:
     match_prefix: list[str] = field(default_factory=list)
     tag_column: int = 0
     window_filter: str = ""
+    window_filter_lib: str = ""
     strict_structs: bool = False
     encoding: str = "utf-8"
 
@@ -87,6 +88,7 @@ class BuildConf:
         for key, value in raw.items():
             if key == "ngramFilter":
                 made["window_filter"] = (value or {}).get("fn", "")
+                made["window_filter_lib"] = (value or {}).get("lib", "")
             elif key in cls.KEYS:
                 made[cls.KEYS[key]] = value if value is not None else []
             elif key not in cls.IDLE:

@@ -26,6 +26,12 @@ def check_charset(name: str) -> str:
         raise ValueError(f"unknown charset {name!r}") from None
 
 
+def keeps_lines(charset: str) -> bool:
+    """Whether bytes of this charset can be split at line feeds before they are decoded."""
+    name = check_charset(charset)
+    return "a\r\nb".encode(name) == b"a\r\nb" and not name.startswith(("utf-7", "utf7", "iso2022", "iso-2022", "hz"))
+
+
 def decoded(content: Column, charset: str) -> Column:
     """Bytes to text; charsets that Spark lacks go through an Arrow function."""
     name = check_charset(charset)

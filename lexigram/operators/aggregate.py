@@ -27,12 +27,26 @@ def count_windows(windows: DataFrame, n: int, min_freq: int = 0, attrs: list[str
     return out.select(*names(n), "count", *[F.col("__first")[a].alias(a) for a in attrs or []])
 
 
-def dense_ids(rows: DataFrame, order: list[Column], bucket: Column, name: str = "id") -> DataFrame:
-    """Numbers distinct rows from 0 in order; ``bucket`` ascends with the order and deals it out.
+#: Ranges that rows are numbered in, and sampled rows for each bound.
+_RANGES, _PER_RANGE = 200, 25
 
-    A window never holds more than a bucket, or a row for each bucket.
+
+def dense_ids(rows: DataFrame, order: list[Column], name: str = "id") -> DataFrame:
+    """Numbers distinct rows from 0 in order.
+
+    The rows are dealt by ranges of the order, whose bounds come from a bounded sample (the
+    rows of the least hashes), so that no common beginning fills a task; a window never holds
+    more than a range, or a row for each range.
     """
-    dealt = rows.withColumn("__b", bucket)
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    sample = rows.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(_RANGES * _PER_RANGE).orderBy("k").collect()
+    step = max(_PER_RANGE, -(-len(sample) // _RANGES))
+    bounds = rows.sparkSession.createDataFrame([(r["k"],) for r in sample[step::step]], rows.select(key.alias("k")).schema) if len(sample) > step else None
+    if bounds is None:
+        dealt = rows.withColumn("__b", F.lit(0))
+    else:  # at most _RANGES bounds, as one row
+        held = bounds.agg(F.sort_array(F.collect_list("k")).alias("__bounds"))
+        dealt = rows.join(F.broadcast(held)).withColumn("__b", F.size(F.filter("__bounds", lambda b: b <= key))).drop("__bounds")
     sizes = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     here = dealt.withColumn("__k", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
@@ -47,14 +61,13 @@ def vocabulary(tokens: DataFrame, column: str = "tok") -> DataFrame:
 
 def word_dictionary(tokens: DataFrame, column: str = "tok") -> DataFrame:
     """``word, id``: ids are ranks from 0 in byte order."""
-    return dense_ids(vocabulary(tokens, column), [F.col("word")], F.substring("word", 1, 3))
+    return dense_ids(vocabulary(tokens, column), [F.col("word")])
 
 
 def attribute_dictionary(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
     """``value, id``: numbered from 0 by first appearance."""
     first = rows.groupBy(F.col(value).alias("value")).agg(F.min(F.struct(*order)).alias("__at"))
-    bucket = F.floor(F.col("__at")[order[0]] / 100_000)
-    return dense_ids(first, [F.col("__at"), F.col("value")], bucket).select("value", "id")
+    return dense_ids(first, [F.col("__at"), F.col("value")]).select("value", "id")
 
 
 def levels(index: DataFrame, n: int) -> DataFrame:
@@ -70,6 +83,9 @@ def decode(rows: DataFrame, dictionary: DataFrame, id_col: str, out_col: str) ->
 
 
 def encode(rows: DataFrame, dictionary: DataFrame, word_col: str, out_col: str) -> DataFrame:
-    """Ids for words; -1 where the dictionary has none."""
+    """Ids for words; -1 where the dictionary has none.
+
+    A left join, whose hot words adaptive execution splits on the side of the rows.
+    """
     side = dictionary.select(F.col("word").alias(word_col), F.col("id").alias(out_col))
     return rows.join(side, word_col, "left").withColumn(out_col, F.coalesce(out_col, F.lit(-1)).cast("long"))

@@ -11,10 +11,15 @@ from lexigram.operators.windows import names
 from lexigram.plans.search import index_n
 
 
+#: Bytes of a row group and of a page: a lookup reads one small group, and of that the pages that its word lies in.
+GROUP_BYTES, PAGE_BYTES = 16 << 20, 128 << 10
+
+
 def write_index(ngrams: DataFrame, path: str) -> None:
     """Sorted by all tokens and dealt by ranges of them, so that frequent first tokens spread and lookups prune."""
     n = index_n(ngrams)
-    ngrams.repartitionByRange(*names(n)).sortWithinPartitions(*names(n)).write.mode("overwrite").parquet(path)
+    dealt = ngrams.repartitionByRange(*names(n)).sortWithinPartitions(*names(n))
+    dealt.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).mode("overwrite").parquet(path)
 
 
 def open_index(spark: SparkSession, path: str, attrs: list[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ _TOKENS = r"""
 with t0 as (select doc_id, lang, source, list_filter(
     regexp_split_to_array(lower(text), '[,.\t\n\f\r ;?!:]+'), lambda x: x <> '') t
   from documents),
-tk as (select doc_id, lang, source, unnest(t) tok, generate_subscripts(t, 1) - 1 pos from t0)
+tk as materialized (select doc_id, lang, source, unnest(t) tok, generate_subscripts(t, 1) - 1 pos from t0)
 """
 STOP, IGNORE = ["the", "die", "la", "de"], ["of", "and", "und", "et", "y"]
 
@@ -57,10 +57,11 @@ def _grams(n: int, source: str = "tk", key: str = "doc_id", where: str = "") ->
     """SQL for ``g(t1..tn, count)`` after the tokens."""
     cols = ", ".join(names(n))
     rows = f"select {key}, pos, {_leads(n)} from {source} window w as (partition by {key} order by pos)"
-    return f"w0 as ({rows}), g as (select {cols}, count(*) as count from w0 where t{n} is not null {where} group by {cols})"
+    return f"w0 as ({rows}), g as materialized (select {cols}, count(*) as count from w0 where t{n} is not null {where} group by {cols})"
 
 
 _G2, _G3 = _grams(2), _grams(3)
+_DICT = "d as materialized (select word, row_number() over (order by word) - 1 as id from (select distinct tok as word from tk))"
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,17 +191,13 @@ def word_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.word_dictionary(table_tokens(_docs(spark, sf_dir))).where(F.col("word") == "of")
 
 
-@query(f"""{_TOKENS}, d as (select word, row_number() over (order by word) - 1 as id from (select distinct tok as word from tk)), {_G2}
-    select a.id as id1, b.id as id2, g.count from g join d a on a.word = t1 join d b on b.word = t2""")
+@query(f"{_TOKENS}, {_DICT}, {_G2} select a.id as id1, b.id as id2, g.count from g join d a on a.word = t1 join d b on b.word = t2")
 def encoded_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = aggregate.word_dictionary(table_tokens(_docs(spark, sf_dir)))
     coded = aggregate.encode(aggregate.encode(_index(spark, sf_dir, 2), words, "t1", "id1"), words, "t2", "id2")
     return coded.select("id1", "id2", "count")
 
 
-_DICT = "d as (select word, row_number() over (order by word) - 1 as id from (select distinct tok as word from tk))"
-
-
 @query(f"{_TOKENS}, {_DICT}, {_G2} select a.id as id1, t2, count from g join d a on a.word = t1 where a.id between 100 and 120")
 def ngrams_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = aggregate.word_dictionary(table_tokens(_docs(spark, sf_dir)))

@@ -6,7 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigram.config import attr_column
@@ -70,17 +72,29 @@ def matching(index: DataFrame, args: SearchArgs, use_candidates: bool = True) ->
     unknown = [a for a, c in zip(args.attrs, attrs, strict=True) if c not in index.columns or c in (*names(n), "count")]
     if unknown:
         raise ValueError(f"unknown attributes: {unknown}")
+    if args.query_type == "regexp":
+        _check_patterns(index.sparkSession, args.query.split(" ")[1:])
     return index.where(predicate(args, n, use_candidates)).select(*names(n), "count", *attrs)
 
 
+def _check_patterns(spark: SparkSession, patterns: list[str]) -> None:
+    """The first pattern has a grammar of its own; the others are Java's, which fail here and not in a task."""
+    for p in patterns:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(p)
+        except (Py4JJavaError, PySparkException):
+            raise ValueError(f"wrong pattern {p!r}") from None
+
+
 def search(index: DataFrame, args: SearchArgs) -> DataFrame:
     """One page of the matching rows, in the order of their tokens."""
-    rows = matching(index, args)
-    n = index_n(index)
-    if args.limit < 0 and not args.offset:
-        return rows.orderBy(*names(n))
-    rows = rows.orderBy(*names(n)).offset(args.offset)
-    return rows if args.limit < 0 else rows.limit(args.limit)
+    rows, order = matching(index, args), names(index_n(index))
+    if args.limit >= 0:
+        return rows.orderBy(*order).offset(args.offset).limit(args.limit)
+    if args.offset:  # n-grams are distinct, so those after the last one left out follow; no row number passes one task
+        last = rows.select(F.struct(*order).alias("k")).orderBy("k").limit(args.offset).offset(args.offset - 1)
+        rows = rows.where(F.struct(*order) > last.scalar())
+    return rows.orderBy(*order)
 
 
 def as_results(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os.path
 import re
 import time
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -23,8 +25,8 @@ class BadRequest(ValueError):
     pass
 
 
-def answer(spark: SparkSession, conf: SearchConf, target: str) -> tuple[int, dict]:
-    """Status and body for a request's path and query."""
+def answer(spark: SparkSession, conf: SearchConf, target: str) -> tuple[int, dict | Iterator[str]]:
+    """Status and body for a request's path and query; a search's body comes piece by piece, a partition of rows at a time."""
     url = urlsplit(target)
     if url.path in ("", "/"):
         return 200, {"name": "lexigram", "version": VERSION}
@@ -50,12 +52,22 @@ def answer(spark: SparkSession, conf: SearchConf, target: str) -> tuple[int, dic
             raise BadRequest("corpus is the name of a folder")
         asked = SearchArgs(one("q"), one("qtype", "default"), given.get("attrs", []), number("offset", 0), number("limit", -1))
         index = open_index(spark, os.path.join(conf.data_path, corpus, "ngrams"))
-        rows = list(results(search(index, asked)))
+        rows = results(search(index, asked))
+        first = next(rows, None)  # what fails does so before the answer begins
     except ValueError as e:
         return 400, {"message": str(e), "code": 400}
     except AnalysisException as e:
         return 404, {"message": str(e).splitlines()[0], "code": 404}
-    return 200, {"size": len(rows), "rows": rows, "searchTime": time.time() - began}
+
+    def body() -> Iterator[str]:
+        size = 0
+        yield '{"rows": ['
+        for row in itertools.chain([first] if first else [], rows):
+            yield ", " * bool(size) + json.dumps(row, ensure_ascii=False)
+            size += 1
+        yield f'], "size": {size}, "searchTime": {time.time() - began}}}'
+
+    return 200, body()
 
 
 def handler(spark: SparkSession, conf: SearchConf) -> type[BaseHTTPRequestHandler]:
@@ -67,12 +79,14 @@ def handler(spark: SparkSession, conf: SearchConf) -> type[BaseHTTPRequestHandle
                 status, body = answer(spark, conf, self.path)
             except Exception as e:
                 status, body = 500, {"message": str(e).splitlines()[0] if str(e) else type(e).__name__, "code": 500}
-            raw = json.dumps(body, ensure_ascii=False).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json; charset=utf-8")
-            self.send_header("Content-Length", str(len(raw)))
-            self.end_headers()
-            self.wfile.write(raw)
+            parts = [json.dumps(body, ensure_ascii=False)] if isinstance(body, dict) else body
+            if isinstance(body, dict):
+                self.send_header("Content-Length", str(len(parts[0].encode())))
+            self.end_headers()  # without a length the body ends with the connection
+            for part in parts:
+                self.wfile.write(part.encode())
 
         def log_message(self, *_: object) -> None:
             pass

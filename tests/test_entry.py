@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
-from lexigram.plans import catalogue
+from lexigram.plans import catalogue, stored  # noqa: F401  (stored adds queries to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 

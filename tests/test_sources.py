@@ -120,6 +120,51 @@ def test_charsets():
         check_charset("foo")
 
 
+def test_large_files_are_numbered_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "PIECE_LINES", 7)
+    lines = [f"w{i} x" if i % 9 else f'<doc file="f{i}">' for i in range(200)]
+    for kind, charset in (("gz", "utf-8"), ("gz", "windows-1250"), ("txt", "utf-16")):
+        raw = "\n".join(lines).encode(charset)
+        (tmp_path / f"v.{kind}").write_bytes(gzip.compress(raw) if kind == "gz" else raw)
+        got = readers.vertical(spark, f"{tmp_path}/v.{kind}", ["doc.file"], charset).orderBy("pos").collect()
+        assert [r["pos"] for r in got] == list(range(200))
+        assert [(r["tok"], r["doc_file"]) for r in got] == [(f"w{i} x" if i % 9 else None, f"f{i - i % 9}") for i in range(200)]
+
+
+@pytest.mark.parametrize(
+    ("text", "right"),
+    [("<a>\n<b>\nx\n</b>\n<c/>\n</a>\n<b>\n</b>", True), ("<a>\n<b>\n</a>\n</b>\n<c>\n</c>", False), ("<a>\nx", False), ("</a>\nx", False), ("<a>\n</a>\n</a>\n<a>", False), ("<a>\n<a>\n</a>\n</a>\nx", True), ("<a>\n</b>\n<b>\n</a>", False), ("x\ny", True)],
+)
+@pytest.mark.parametrize("piece", [1, 2, 1000])
+def test_strict_structures(spark, tmp_path, monkeypatch, text, right, piece):
+    monkeypatch.setattr(readers, "PIECE_LINES", piece)
+    (tmp_path / "v").write_text(text + "\n")
+    if right:
+        readers.vertical(spark, f"{tmp_path}/v", strict=True)
+    else:
+        with pytest.raises(ValueError):
+            readers.vertical(spark, f"{tmp_path}/v", strict=True)
+
+
+def test_attribute_ids_follow_the_files(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "0").write_text('x\ny\nz\n<doc file="first">\nw\n</doc>\n')
+    (tmp_path / "c" / "1").write_text('<doc file="second">\nw\n</doc>\n')
+    where = build.build_index(spark, BuildConf.of(conf_of(f"{tmp_path}/c")), 1)
+    got = {r["value"]: r["id"] for r in spark.read.parquet(f"{where}/attr_doc_file").collect()}
+    assert got == {None: 0, "first": 1, "second": 2}
+
+
+def test_filter_modules(spark, vert, tmp_path):
+    (tmp_path / "mine.py").write_text("def verbs(words, tags):\n    return tags[-1] == 'V'\n\n\ndef long(words, tags):\n    return len(words[-1]) > LEAST\n\n\nlong.plain = True\nLEAST = 4\n")
+    for fn in ("verbs", "long"):
+        rows = build.ngrams(spark, BuildConf.of(conf_of(vert, ngramFilter={"lib": f"{tmp_path}/mine.py", "fn": fn}, tagAttrIdx=1)), 2).collect()
+        assert [(r["t1"], r["t2"]) for r in rows] == [("dog", "barks")]
+    for bad in ({"lib": "nowhere.py", "fn": "x"}, {"lib": f"{tmp_path}/mine.py", "fn": "none"}):
+        with pytest.raises(ValueError):
+            build.ngrams(spark, BuildConf.of(conf_of(vert, ngramFilter=bad)), 2)
+
+
 def test_plain_windows_run_across_lines(spark, tmp_path):
     (tmp_path / "c.txt").write_text(TEXT)
     rows = build.ngrams(spark, BuildConf(str(tmp_path / "c.txt"), "plain", ignore=["sit"]), 2).collect()
@@ -164,7 +209,7 @@ def test_prefix_setting_and_window_filter(spark, vert):
 
     assert [r["t1"] for r in build.ngrams(spark, BuildConf.of(conf_of(vert, ngramMatchPrefix=["d"])), 2).collect()] == ["dog"]
     filters.register("verb_last", lambda words, tags: tags[-1] == "V")
-    rows = build.ngrams(spark, BuildConf.of(conf_of(vert, ngramFilter={"lib": "x", "fn": "verb_last"}, tagAttrIdx=1)), 2).collect()
+    rows = build.ngrams(spark, BuildConf.of(conf_of(vert, ngramFilter={"fn": "verb_last"}, tagAttrIdx=1)), 2).collect()
     assert [(r["t1"], r["t2"]) for r in rows] == [("dog", "barks")]
 
 
@@ -195,7 +240,7 @@ def test_http(spark, vert, tmp_path):
         assert status == 200 and body["size"] == 1 and body["rows"] == [{"ngram": ["the", "dog"], "count": 3, "args": ["a"]}]
         assert get("/search?corpus=corp&q=d.*&qtype=regexp")[1]["size"] == 1
         assert get("/nothing")[0] == 404 and get("/search?corpus=none&q=a")[0] == 404
-        for bad in ("/search?q=a", "/search?corpus=corp", "/search?corpus=corp&q=a&limit=x", "/search?corpus=corp&q=a&qtype=z", "/search?corpus=corp&q=1&qtype=regexp", "/search?corpus=..&q=a", "/search?corpus=corp&q=the&attrs=no.no"):
+        for bad in ("/search?q=a", "/search?corpus=corp", "/search?corpus=corp&q=a&limit=x", "/search?corpus=corp&q=a&qtype=z", "/search?corpus=corp&q=1&qtype=regexp", "/search?corpus=corp&q=a%20(b&qtype=regexp", "/search?corpus=..&q=a", "/search?corpus=corp&q=the&attrs=no.no"):
             assert get(bad)[0] == 400, bad
     finally:
         httpd.shutdown()
