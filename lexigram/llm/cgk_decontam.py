@@ -5,19 +5,22 @@ characters part them; a character of a script without spaces, such as Han, kana
 word of its own).  A document is contaminated by an item of m words if some stretch of
 it lies within floor(m / 5) word edits of the item (similarity 0.8).
 
-- Windows: by the pigeonhole principle such a stretch holds three item words in a row (two
-  for items under ten words), so windows of the item's size start only where an item's
-  three words stand, moved by every offset the edits allow.  This loses nothing.
+- Parts: an item is cut into parts of about ``PART`` words (shorter ones stay whole).  Of the
+  parts of an item within its limit one at least is within its own, so parts are sought; each
+  that is found leads to its item.
+- Windows: by the pigeonhole principle a stretch within a part's limit holds three of its
+  words in a row (two for parts under ten words), so windows of the part's size start only
+  where such words stand, moved by every offset the edits allow.  This loses nothing.
 - The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) reads a window while writing
   3m symbols: it writes the current word, then goes on or stays as a random function of step
   and word says.  Few edits give few differing symbols.
 - Each of ``tables`` hash tables samples a few symbols of one of the walks.  How many tables
-  the items of a size need is measured: items are edited at random up to the limit, by each
+  the parts of a size need is measured: they are edited at random up to the limit, by each
   kind of edit alone and all mixed, and tables added until ``recall`` of every kind are found.
-- Sizes that ``MOST_TABLES`` don't bring there, and those over ``LONGEST``, are sought without
-  tables: d edits spoil at most d q of an item's rows of q words, and the rest stand in the text
-  moved by offsets that differ by d at most.  Where so many are left, the item is verified;
-  this loses nothing.
+  An item of several parts is found more often, as edits seldom lie evenly.
+- Sizes that ``MOST_TABLES`` don't bring there are sought without tables: d edits spoil at
+  most d q of a part's rows of q words, and the rest stand in the text moved by offsets that
+  differ by d at most.  Where so many are left, the item is verified; this loses nothing.
 - Candidates are verified by the exact edit distance of the item to any stretch nearby.
 
 Items are searched in blocks of bounded size, each against all documents.  Items under five
@@ -42,8 +45,8 @@ LEAST_WORDS = 1
 RECALL = 0.98
 #: Symbols that a table samples; walks; most tables.
 SAMPLED, WALKS, MOST_TABLES = 3, 8, 96
-#: Words of the longest items that are sought by tables; edits of each kind that measure a size.
-LONGEST, TRIALS = 400, 120
+#: Words of a part at least, where an item has two or more; edits of each kind that measure a size.
+PART, TRIALS = 10, 240
 EDITS = ("replace", "insert", "delete", "mixed")
 #: Words of the items in a block, and windows embedded at once.
 BLOCK_WORDS, WINDOWS = 1 << 20, 1 << 17
@@ -158,15 +161,19 @@ class Block:
 
     def __init__(self, ids: list, words: list[np.ndarray], recall: float = RECALL):
         self.ids, self.items = ids, words
-        self.size = np.array([len(w) for w in words], np.int64)
+        cut = [np.linspace(0, len(w), max(1, len(w) // PART) + 1).astype(np.int64) for w in words]
+        self.item = np.repeat(np.arange(len(words)), [len(c) - 1 for c in cut])
+        self.offset = np.concatenate([c[:-1] for c in cut]) if words else np.zeros(0, np.int64)
+        self.size = np.concatenate([np.diff(c) for c in cut]) if words else np.zeros(0, np.int64)
+        self.parts = [words[i][o : o + n] for i, o, n in zip(self.item.tolist(), self.offset.tolist(), self.size.tolist(), strict=True)]
         self.grams = {}
         for q in (1, 2, 3):
-            mine = [i for i, w in enumerate(words) if len(w) and (1 if len(w) == 1 else 2 if len(w) < 10 else 3) == q]
+            mine = [i for i, w in enumerate(self.parts) if len(w) and (1 if len(w) == 1 else 2 if len(w) < 10 else 3) == q]
             if mine:
-                keys = [_grams(words[i], q) for i in mine]
+                keys = [_grams(self.parts[i], q) for i in mine]
                 values = [(np.full(len(k), i, np.int64) << 32) + np.arange(len(k)) for i, k in zip(mine, keys, strict=True)]
                 self.grams[q] = Lookup(np.concatenate(keys), np.concatenate(values))
-        #: Tables for each item size; 0 where the items are sought by counted grams.
+        #: Tables for each size of parts; 0 where they are sought by counted grams.
         self.tables = {}
         keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for m, mine, flat, start in self._by_size():
@@ -180,19 +187,19 @@ class Block:
     def _by_size(self) -> Iterator[tuple]:
         for m in np.unique(self.size).tolist():
             mine = np.flatnonzero(self.size == m)
-            yield m, mine, np.concatenate([self.items[i] for i in mine]), np.arange(len(mine)) * m
+            yield m, mine, np.concatenate([self.parts[i] for i in mine]), np.arange(len(mine)) * m
 
     def _needed(self, m: int, mine: np.ndarray, recall: float) -> int:
-        """Tables that find ``recall`` of items of size m edited up to the limit, by each kind of edit; 0 if too many."""
-        if not limit(m) or m > LONGEST:
+        """Tables that find ``recall`` of parts of size m edited up to the limit, by each kind of edit; 0 if too many."""
+        if not limit(m):
             return 0
         rng = np.random.Generator(np.random.PCG64(7 + m))
         some = rng.permutation(mine)[:40]
-        whole = embed(np.concatenate([self.items[i] for i in some]), np.arange(len(some)) * m, np.arange(1, len(some) + 1) * m, m, MOST_TABLES)
+        whole = embed(np.concatenate([self.parts[i] for i in some]), np.arange(len(some)) * m, np.arange(1, len(some) + 1) * m, m, MOST_TABLES)
         which = np.resize(np.arange(len(some)), max(TRIALS, len(some)))
         most = 0
         for kind in range(len(EDITS)):
-            edited = [_edited(self.items[some[k]], kind, rng) for k in which]
+            edited = [_edited(self.parts[some[k]], kind, rng) for k in which]
             size = np.array([len(w) for w in edited])
             start = np.cumsum(size) - size
             hit = embed(np.concatenate(edited), start, start + np.minimum(size, m), m, MOST_TABLES) == whole[which]
@@ -201,7 +208,7 @@ class Block:
         return most if most <= MOST_TABLES else 0
 
     def _hits(self, words: np.ndarray, at: np.ndarray, some: tuple[int, int]) -> Iterator[tuple]:
-        """Text, item and the item's start (by the place in it) of all rows of q words of some items."""
+        """Text, part and the part's start (by the place in it) of all rows of q words of some parts."""
         text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
         for q, lookup in self.grams.items():
             found = []
@@ -213,19 +220,19 @@ class Block:
             if sum(len(f[0]) for f in found):
                 yield q, *(np.concatenate(f) for f in zip(*found, strict=True))
 
-    def _parts(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """Ranges of items that are sought one after another, so that the meetings of each are bounded."""
+    def _rounds(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of parts that are sought one after another, so that the meetings of each are bounded."""
         n = sum(lookup.meetings(_grams(words, q)) for q, lookup in self.grams.items())
-        parts = min(len(self.ids), -(-n // MEETINGS)) or 1
-        ends = [len(self.ids) * i // parts for i in range(parts + 1)]
+        rounds = min(len(self.parts), -(-n // MEETINGS)) or 1
+        ends = [len(self.parts) * i // rounds for i in range(rounds + 1)]
         return list(zip(ends[:-1], ends[1:], strict=True))
 
     def _windows(self, hits: list[tuple], at: np.ndarray) -> Iterator[tuple]:
-        """Item size and different window starts that the pigeonhole principle leaves."""
+        """Size of parts and different window starts that the pigeonhole principle leaves."""
         if not hits:
             return
-        text, item, first = (np.concatenate(h) for h in list(zip(*hits, strict=True))[1:])
-        size = np.where(self.counted[item], 0, self.size[item])
+        text, part, first = (np.concatenate(h) for h in list(zip(*hits, strict=True))[1:])
+        size = np.where(self.counted[part], 0, self.size[part])
         order = np.argsort(size, kind="stable")
         text, first, size = text[order], first[order], size[order]
         for m in np.unique(size[size > 0]).tolist():
@@ -240,17 +247,17 @@ class Block:
                 yield m, starts[i : i + WINDOWS], stop[i : i + WINDOWS], of[i : i + WINDOWS]
 
     def _enough(self, hits: list[tuple]) -> Iterator[tuple]:
-        """Text, item and starts where as many of its grams lie close by as the edits must leave."""
-        for q, text, item, first in hits:
-            mine = self.counted[item]
-            text, item, first = text[mine], item[mine], first[mine]
+        """Text, part and starts where as many of its grams lie close by as the edits must leave."""
+        for q, text, part, first in hits:
+            mine = self.counted[part]
+            text, part, first = text[mine], part[mine], first[mine]
             if not len(first):
                 continue
-            order = np.lexsort((first, item, text))
-            text, item, first = text[order], item[order], first[order]
-            m = self.size[item]
+            order = np.lexsort((first, part, text))
+            text, part, first = text[order], part[order], first[order]
+            m = self.size[part]
             d = m // 5
-            group = np.cumsum(np.r_[0, (np.diff(text) != 0) | (np.diff(item) != 0)])
+            group = np.cumsum(np.r_[0, (np.diff(text) != 0) | (np.diff(part) != 0)])
             place = group * (int(first.max() - first.min()) + int(d.max()) + 1) + first - first.min()
             end = np.searchsorted(place, place + d, "right")
             enough = end - np.arange(len(place)) >= m - q + 1 - d * q
@@ -258,25 +265,25 @@ class Block:
             np.add.at(change, np.flatnonzero(enough), 1)
             np.add.at(change, end[enough], -1)
             kept = np.cumsum(change[:-1]) > 0
-            yield text[kept], item[kept], first[kept]
+            yield text[kept], part[kept], first[kept]
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, end word) of the best stretch for each text and item."""
         found: dict[tuple[int, int], list[int]] = {}
-        for some in self._parts(words):
+        for some in self._rounds(words):
             hits = list(self._hits(words, at, some))
             near = list(self._enough(hits))
             for m, start, stop, text in self._windows(hits, at):
                 n = self.tables[m]
-                for where, item in self.lookup.find(embed(words, start, stop, m, n).ravel()):
-                    near.append(tuple(np.unique(np.stack((text[where // n], item, start[where // n])), axis=1)))
-            for pairs in near:
-                for pair in np.unique(np.stack(pairs), axis=1).T.tolist():
+                for where, part in self.lookup.find(embed(words, start, stop, m, n).ravel()):
+                    near.append(tuple(np.unique(np.stack((text[where // n], part, start[where // n])), axis=1)))
+            for text, part, start in near:
+                for pair in np.unique(np.stack((text, self.item[part], start - self.offset[part])), axis=1).T.tolist():
                     found.setdefault((pair[0], pair[1]), []).append(pair[2])
         found = {pair: sorted(set(starts)) for pair, starts in found.items()}
         out = []
         for (text, item), starts in found.items():
-            words_i, m = self.items[item], int(self.size[item])
+            words_i, m = self.items[item], len(self.items[item])
             d, low, high = limit(m), int(at[text]), int(at[text + 1])
             best = None
             a, b = None, None

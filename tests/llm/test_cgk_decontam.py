@@ -124,7 +124,7 @@ def test_common_words_of_many_items_are_met_in_parts(monkeypatch):
     want = block.matches(words, at)
     assert len({(t, i) for t, i, *_ in want if i == 3 * t}) >= 19
     monkeypatch.setattr(cd, "MEETINGS", 500)
-    assert len(block._parts(words)) > 10 and block.matches(words, at) == want
+    assert len(block._rounds(words)) > 10 and block.matches(words, at) == want
 
 
 def test_short_items_and_unspaced_scripts(spark):
