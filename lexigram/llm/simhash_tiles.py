@@ -276,11 +276,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Keys that a broadcast holds at most.
+_BROADCAST_KEYS = 200_000
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """One row of ``docs`` of each near-duplicate group, that of the least id, with all its columns.
 
     Rows without an id stay only where their group has no row with one.  Of rows that repeat
-    id and text one stays.
+    id and text one stays.  Everything is decided on keys; while those to be left out are few
+    enough to be broadcast, texts aren't shuffled.
     """
     no_id = F.col(id_col).isNull()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -288,5 +293,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.struct(no_id.alias("no_id"), F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     name = fresh(docs, "row_key")
     classes = near_duplicates(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text", radius, chunk)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name))
-    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(docs.columns)
+    keys = classes.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    odd = cut(keys.where(~F.col("stays") | (F.col("n") > 1)).select(name, "stays"))
+    n_odd, n_repeated = odd.agg(F.count("*"), F.count_if("stays")).first()
+    held = lambda side, n: F.broadcast(side) if n <= _BROADCAST_KEYS else side
+    rows = docs.withColumn(name, key)
+    out = rows.join(held(odd.select(name), n_odd), name, "left_anti")
+    if n_repeated:
+        again = odd.where("stays").select(name)
+        out = out.unionByName(rows.join(held(again, n_repeated), name, "left_semi").dropDuplicates([name]))
+    return out.select(docs.columns)

@@ -78,7 +78,9 @@ def test_compare_connects_all_links(n):
     assert all(root.get(x, x) == root.get(y, y) for x, y in across)
 
 
-def test_deduplicate_keeps_one_row_a_group(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_deduplicate_keeps_one_row_a_group(spark, monkeypatch, most):
+    monkeypatch.setattr(st, "_BROADCAST_KEYS", most)
     rows = [(5, "a b c d e", "x"), (3, "a b c d e", "y"), (None, "a b c d e", "z"), (None, "other words stand here", "n"), (7, "p q r s", "k"), (7, "p q r s", "k"), (7, "u v w x y", "m"), (8, None, "q"), (9, "", "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = st.deduplicate(df)
