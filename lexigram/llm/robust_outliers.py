@@ -48,7 +48,7 @@ FLOOR = 0.02
 #: Rows' worth of the corpus' spread in a group's scatter.
 PRIOR = 20
 #: Chance, by the chi-square law, of a row further away than those kept.
-LEVEL = 1e-4
+LEVEL = 1e-5
 #: Rows of a group that are worked on together, random starts, those that are carried on, and most steps.
 SAMPLE, STARTS, CARRIED, STEPS = 2000, 30, 3, 40
 #: A determinant falls if its logarithm does by this much.
