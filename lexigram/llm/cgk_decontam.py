@@ -21,7 +21,8 @@ it lies within floor(m / 5) word edits of the item (similarity 0.8).
 - Sizes that ``MOST_TABLES`` don't bring there are sought without tables: d edits spoil at
   most d q of a part's rows of q words, and the rest stand in the text moved by offsets that
   differ by d at most.  Where so many are left, the item is verified; this loses nothing.
-- Candidates are verified by the exact edit distance of the item to any stretch nearby.
+- Candidates are verified by the exact edit distance of the part to the words around the
+  window, many at once, and of those left the item's to any stretch nearby.
 
 Items are searched in blocks of bounded size, each against all documents.  Items under five
 words allow no edit and are sought as they are; only those under ``least_words`` words are left
@@ -45,11 +46,13 @@ LEAST_WORDS = 1
 RECALL = 0.98
 #: Symbols that a table samples; walks; most tables.
 SAMPLED, WALKS, MOST_TABLES = 3, 8, 96
+#: Steps of a walk that are sampled, in sizes of its window; after two it is at the end, on average, and says nothing more.
+REACH = 1.75
 #: Words of a part at least, where an item has two or more; edits of each kind that measure a size.
 PART, TRIALS = 10, 240
 EDITS = ("replace", "insert", "delete", "mixed")
-#: Words of the items in a block, and windows embedded at once.
-BLOCK_WORDS, WINDOWS = 1 << 20, 1 << 17
+#: Words of the items in a block, windows embedded and candidates verified at once.
+BLOCK_WORDS, WINDOWS, CANDIDATES = 1 << 20, 1 << 17, 1 << 14
 #: Meetings of words in texts and in items that are held at once.
 MEETINGS = 1 << 22
 _U = np.uint64
@@ -112,7 +115,7 @@ def embed(words: np.ndarray, start: np.ndarray, stop: np.ndarray, m: int, tables
     """Table keys (windows x tables) of windows of size m; reading past ``stop`` gives padding."""
     rng = np.random.Generator(np.random.PCG64(_SEED + m))
     walks = np.arange(MOST_TABLES) % WALKS
-    samples = rng.integers(0, 2 * m, (MOST_TABLES, SAMPLED))[:tables]  # a walk is at the end by then, on average
+    samples = rng.integers(0, max(1, int(REACH * m)), (MOST_TABLES, SAMPLED))[:tables]
     steps = rng.integers(0, 2**63, (WALKS, 3 * m), dtype=np.uint64)
     used = min(WALKS, tables)
     wanted: dict[int, list[int]] = {}
@@ -146,6 +149,22 @@ def distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     return row
 
 
+def _near(parts: np.ndarray, words: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether the parts (rows of equal sizes) are within their limit of a stretch at ``start``, in texts from low to high; all at once."""
+    m = parts.shape[1]
+    d = limit(m)
+    place = start[:, None] + np.arange(-2 * d, m + 2 * d)
+    text = np.where((place >= low[:, None]) & (place < high[:, None]), words[np.clip(place, 0, max(len(words) - 1, 0))], _U(0))
+    n = np.arange(text.shape[1] + 1, dtype=np.int16)
+    row = np.zeros((len(parts), len(n)), np.int16)
+    for i in range(m):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, :-1] + (text != parts[:, i : i + 1]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - n, axis=1) + n
+    return row.min(1) <= d
+
+
 def _edited(item: np.ndarray, kind: int, rng: np.random.Generator) -> np.ndarray:
     """The item with as many random edits of a kind as the limit allows."""
     words, n = item.tolist(), limit(len(item))
@@ -276,7 +295,11 @@ class Block:
             for m, start, stop, text in self._windows(hits, at):
                 n = self.tables[m]
                 for where, part in self.lookup.find(embed(words, start, stop, m, n).ravel()):
-                    near.append(tuple(np.unique(np.stack((text[where // n], part, start[where // n])), axis=1)))
+                    window, part = np.unique(np.stack((where // n, part)), axis=1)
+                    for i in range(0, len(part), CANDIDATES):
+                        w, p = window[i : i + CANDIDATES], part[i : i + CANDIDATES]
+                        good = _near(np.stack([self.parts[k] for k in p]), words, start[w], at[text[w]], at[text[w] + 1])
+                        near.append((text[w][good], p[good], start[w][good]))
             for text, part, start in near:
                 for pair in np.unique(np.stack((text, self.item[part], start - self.offset[part])), axis=1).T.tolist():
                     found.setdefault((pair[0], pair[1]), []).append(pair[2])
