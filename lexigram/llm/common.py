@@ -39,10 +39,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Deletes a folder when the driver ends, for results that a returned frame still reads."""
+def folder_till_exit(spark: SparkSession, path: str) -> str:
+    """Makes a folder that is deleted when the driver ends, for results that a returned frame still reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
 
 
 def fresh(df: DataFrame, name: str) -> str:

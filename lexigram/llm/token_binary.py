@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexigram.llm import bytewords as bw
-from lexigram.llm.common import id_and_text, remove_at_exit, shared_dir, slices, text_buffer
+from lexigram.llm.common import folder_till_exit, id_and_text, shared_dir, slices, text_buffer
 
 END_ID = 2
 #: Ids in an image at most, unless a single document has more.
@@ -398,9 +398,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, **more) -> None:
 
 def new_path(spark: SparkSession) -> str:
     """A new folder in the shared one, deleted when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    remove_at_exit(spark, path)
-    return path
+    return folder_till_exit(spark, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

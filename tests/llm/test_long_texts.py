@@ -58,3 +58,25 @@ def test_same_results(k, short):
     assert simhash_tiles.simhash_long(buf) == int(fp)
     got = robust_outliers.count_long(buf)
     assert {c: int(got[c][0]) for c in got} == {c: int(counts[c][0]) for c in counts}
+
+
+def test_a_text_over_the_limit_for_real():
+    from tests.llm.test_robust_outliers import slow_counts
+    from tests.llm.test_simhash_tiles import slow_fingerprint
+
+    rng = np.random.default_rng(5)
+    words = np.array(["stone", "river", "Éte", "bad", "the", "walks", "$$", "日本", "x-y", "house."])
+    lines = [" ".join(line) for line in words[rng.integers(0, 10, (70_000, 12))]]
+    text = "\n".join(lines + lines[:100])
+    buf, at = text_buffer(pa.array([text]))
+    assert len(buf) > bw.LONG and len(bw.pieces_if_long(buf)) > 3
+    got = robust_outliers.count_long(buf)
+    assert tuple(int(got[k][0]) for k in ("word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words")) == slow_counts(text)
+    assert simhash_tiles.simhash_long(buf) == slow_fingerprint(text)
+    encoder = token_binary._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.encode(buf, at, None)[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    pieces = lattice_sampling.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    ids, counts = lattice_sampling.encode_texts(pieces, buf, at, np.array([3], np.uint64))
+    assert lattice_sampling.decode_ids(pieces, ids, counts)[0] == buf.tobytes()
+    item = cgk_decontam.Block([1], [cgk_decontam.word_hashes(*text_buffer(pa.array([lines[50_000] + " " + lines[50_001]])))[0]])
+    assert [m[:3] for m in item.matches(*cgk_decontam.word_hashes(buf, at))] == [(0, 0, 0)]
