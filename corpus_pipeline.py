@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigram.llm import cgk_decontam, credential_links, lattice_sampling, simhash_tiles, toxic_crf
-from lexigram.llm.common import remove, shared_dir, table
+from lexigram.llm.common import folder_till_exit, remove, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,10 +69,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again.
 
-    A result is deleted once the next one is committed; the last stays, as the frame reads it.
+    A result is deleted once the next one is committed; the last stays till the driver ends, as the
+    frame reads it.
     """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = folder_till_exit(spark, f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}")
     before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -40,7 +40,9 @@ def scratch(spark: SparkSession) -> str:
         top = tempfile.gettempdir()
     path = f"{top.rstrip('/')}/lexigram-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
     return path
 
 
@@ -196,7 +198,7 @@ def extracted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plain(spark: SparkSession, sf_dir: str, charset: str = "utf-8", compression: str = "none") -> str:
     """All documents in one plain file, in the order of their ids."""
-    path = scratch(spark)
+    path = f"{scratch(spark)}/text"
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
     text, end = F.col("text"), "\n"
     if charset != "utf-8":
