@@ -81,19 +81,21 @@ def array_windows(
     return out
 
 
-def numbered(tokens: DataFrame, chunk: list[str], order: str) -> DataFrame:
-    """Adds ``pos``, a number without gaps over the chunks of each file.
+def numbered(rows: DataFrame, chunk: list[str], order: str, size: Column | None = None) -> DataFrame:
+    """Adds ``pos``, a number without gaps over the chunks of each file, of a row or of the first of ``size`` tokens in it.
 
     ``chunk`` names the columns (file, then place in the file) of pieces that were read
     together, ``order`` one that ascends within a piece.  Only a row for each piece is ever
     summed up in order.
     """
     file, *rest = chunk
-    counts = tokens.groupBy(*chunk).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(file).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1))
+    size = F.lit(1) if size is None else size
+    counts = rows.groupBy(*chunk).agg(F.sum(size).alias("__n"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("__n").over(upto(Window.partitionBy(file).orderBy(*rest)))
     offsets = counts.select(*chunk, F.coalesce(before, F.lit(0)).alias("__before"))
-    here = tokens.withColumn("__k", F.row_number().over(Window.partitionBy(*chunk).orderBy(order)))
-    return here.join(offsets, chunk).withColumn("pos", F.col("__before") + F.col("__k") - 1).drop("__k", "__before")
+    here = rows.withColumn("__k", F.coalesce(F.sum(size).over(upto(Window.partitionBy(*chunk).orderBy(order))), F.lit(0)))
+    return here.join(offsets, chunk).withColumn("pos", F.col("__before") + F.col("__k")).drop("__k", "__before")
 
 
 def stream_windows(

@@ -37,12 +37,19 @@ def table_tokens(rows: DataFrame, text_col: str = "text", keep: list[str] | None
     return rows.select(*keep, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
 
 
+def _told(rows: DataFrame, chunk: list[str], words: Column, ignore: list[str] | None) -> DataFrame:
+    """``file, pos, tok`` of the words in rows ``(chunk..., key)``: rows are numbered and then exploded."""
+    if ignore:
+        words = F.filter(words, lambda t: ~t.isin(*ignore))
+    held = rows.select(*chunk, "key", words.alias("__t")).where(F.size("__t") > 0)
+    placed = numbered(held, chunk, "key", F.size("__t")).select("file", "pos", F.posexplode("__t").alias("__k", "tok"))
+    return placed.select("file", (F.col("pos") + F.col("__k")).alias("pos"), "tok")
+
+
 def table_stream(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", ignore: list[str] | None = None, rows_a_piece: int = 4096) -> DataFrame:
     """All rows as one stream ``(file, pos, tok)`` in the order of their integer ids: windows run across rows."""
-    words = rows.select(F.lit("").alias("file"), F.floor(F.col(id_col) / rows_a_piece).alias("at"), F.col(id_col).alias("__id"), F.posexplode(tokens(F.col(text_col))).alias("__k", "tok"))
-    if ignore:
-        words = words.where(~F.col("tok").isin(*ignore))
-    return numbered(words.withColumn("key", F.struct("__id", "__k")), ["file", "at"], "key").select("file", "pos", "tok")
+    named = rows.select(F.lit("").alias("file"), F.floor(F.col(id_col) / rows_a_piece).alias("at"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    return _told(named, ["file", "at"], tokens(F.col("text")), ignore)
 
 
 #: Lines that are numbered together, so that a file that can't be split (gzip) isn't one task's work.
@@ -71,10 +78,7 @@ _PIECE = ["file", "at", "sub"]
 
 def plain(spark: SparkSession, path: str, charset: str = "utf-8", ignore: list[str] | None = None) -> DataFrame:
     """A stream ``(file, pos, tok)`` of a file's tokens in order; windows run across lines."""
-    words = _lines(spark, path, charset).select(*_PIECE, "key", F.posexplode(tokens(F.col("line"))).alias("k", "tok"))
-    if ignore:
-        words = words.where(~F.col("tok").isin(*ignore))
-    return numbered(words.withColumn("key", F.struct("key", "k")).drop("k"), _PIECE, "key").select("file", "pos", "tok")
+    return _told(_lines(spark, path, charset), _PIECE, tokens(F.col("line")), ignore)
 
 
 def _attribute(line: Column, name: str) -> Column:
