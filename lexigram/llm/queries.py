@@ -107,7 +107,57 @@ QUERIES = {
     "op10_simhash_tiles": op10_simhash_tiles,
 }
 
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SIGN = r"""["'']?\x20*[:=]\x20*["'']?"""
+_PATTERNS = {
+    "assign": rf"(?:(?i:password|passwd|secret|token|api_?key)){_SIGN}([A-Za-z0-9+/_.=-]+)",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]{24,}",  # runs are taken whole
+    "named": rf"(?:(?i:user|username|login|client_?id|access_?key(?:_?id)?|account(?:_?name)?)){_SIGN}([A-Za-z0-9@._-]{{3,}})",
+    "key": "[A-Za-z0-9+/]{20,}",
+    "endpoint": rf"""[A-Za-z][A-Za-z0-9+.-]*://[^{_WHITE}"''<>]+""",
+    "userinfo": rf"://([^/:@{_WHITE}]*):([^/@{_WHITE}]+)@",
+}
+
+
+def _op3_sql(scope: int) -> str:
+    """Places of matches from the texts before and between them; scopes met by plain comparison."""
+    found = " union all ".join(
+        f"select rid, '{kind}' as kind, regexp_extract_all(t, '{rx}') as ms, regexp_split_to_array(t, '{rx}') as ps from d" for kind, rx in _PATTERNS.items()
+    )
+    upto = lambda xs, n: f"coalesce(list_sum(list_transform({xs}[1:{n}], lambda x: length(x))), 0)::bigint"
+    near = lambda part, scopes: f"exists (select 1 from {scopes} s where s.rid = {part}.rid and {part}.a < s.b + {scope} and s.a - {scope} < {part}.b)"
+    order = "a, list_position(['assign', 'access', 'hex', 'login', 'key', 'userinfo'], kind), b"
+    return f"""
+with d as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+f as ({found}),
+g as (select rid, kind, ms, ps, unnest(ms) as m, generate_subscripts(ms, 1) as i from f where len(ms) > 0),
+m as materialized (select rid, kind, m, {upto("ps", "i")} + {upto("ms", "i - 1")} as a from g),
+strong as materialized (select rid, kind, a, a + length(m) as b from m where kind = 'access' and length(m) >= 20 or kind = 'hex'
+  or kind = 'assign' and length(regexp_extract(m, '{_PATTERNS["assign"]}', 1)) >= 6),
+info as (select rid, a, regexp_extract(m, '{_PATTERNS["userinfo"]}', 1) as u, regexp_extract(m, '{_PATTERNS["userinfo"]}', 2) as w from m where kind = 'userinfo'),
+logins as materialized (select rid, 'login' as kind, a + length(m) - length(regexp_extract(m, '{_PATTERNS["named"]}', 1)) as a, a + length(m) as b from m where kind = 'named'
+  union select rid, 'login', a + 3, a + 3 + length(u) from info where u <> ''),
+users as materialized (select distinct rid, 'userinfo' as kind, a + 4 + length(u) as a, a + 4 + length(u) + length(w) as b from info),
+ends as (select rid, a, a + length(m) as b from m where kind = 'endpoint'),
+identifiers as materialized (select rid, a, b from logins union all select rid, a, b from strong where kind = 'access'),
+mixed as (select distinct rid, 'key' as kind, a, a + length(m) as b from m
+  where kind = 'key' and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')),
+keys as materialized (select * from mixed k where {near("k", "identifiers")}
+  and not exists (select 1 from strong s where s.rid = k.rid and s.a < k.b and k.a < s.b)),
+others as materialized (select rid, a, b from keys union all select rid, a, b from strong where kind <> 'access' union all select rid, a, b from users),
+spans as (select * from strong union all select * from keys union all select * from logins l where {near("l", "others")}
+  union all select * from users u where {near("u", "ends")} and {near("u", "identifiers")}),
+told as (select rid, string_agg(kind || ':' || a || ':' || b, ',' order by {order}) as spans,
+  count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' order by {order}) filter (where kind in ('assign', 'access', 'hex')) as base from spans group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join told using (rid)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_credential_links": _op3_sql(credential_links.SCOPE),
     "op4_chat_format": r"""
 with rows0 as (
   select conv_id, turn, role, coalesce(text, '') as text from conversations
