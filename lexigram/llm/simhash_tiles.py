@@ -202,13 +202,13 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, group: in
 
     Two fingerprints within the radius agree in one of radius + 1 bands at least, so they are
     compared exactly where they agree in the low bits of a band: as many bits as make groups
-    of about ``group`` fingerprints, and at most the whole band.  A fingerprint goes to two
-    cells of radius + 1 groups.  A cell over ``chunk`` is cut into parts, every pair of which
+    of about ``group`` fingerprints, one at least and at most the whole band.  A fingerprint
+    goes to two cells of radius + 1 groups.  A cell over ``chunk`` is cut into parts, every pair of which
     meets once.
     """
     n = prints.count()
-    bits = max(0, round(math.log2(n / group))) if n > group else 0
-    bands = _bands(radius, min(bits, 16)) if bits else [(0, 0)]
+    bits = max(1, round(math.log2(max(n, 1) / group)))
+    bands = _bands(radius, bits)
     groups = F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)) + F.lit(i << 20) for i, (s, m) in enumerate(bands)])
     own = F.floor(F.bit_count("fp") / (radius + 1)).cast("long")
     # side 0 lives in the cell, side 1 comes from the one below
