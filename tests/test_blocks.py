@@ -4,12 +4,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexigram import build
+from lexigram.config import BuildConf
 from lexigram.functions.text import tokens
 from lexigram.operators import blocks
 from lexigram.operators.aggregate import count_windows
 from lexigram.operators.blocks import count_blocks
 from lexigram.operators.windows import array_windows, names
-from lexigram.plans import catalogue
+from lexigram.plans import catalogue, stored
 
 WORDS = ["the", "of", "a", "weather", "čřž", "語", "", "x" * 40]
 
@@ -62,7 +64,7 @@ def test_each_label_has_a_partition_of_its_own(spark, parts):
     assert {r["x"]: r["p"] for r in rows} == {x: i for i, x in enumerate(labels)}
 
 
-@pytest.mark.parametrize("name", ["min_frequency", "ngrams_2"])
+@pytest.mark.parametrize("name", ["min_frequency", "ngrams_2", "vertical_filter_args"])
 def test_no_window_is_shuffled_as_a_row(spark, name):
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "__blob" in plan and "hashpartitioning(t1#0, t2" not in plan and "partial_count(1)" not in plan
@@ -72,3 +74,15 @@ def test_tasks_follow_the_size_of_the_input(spark, monkeypatch):
     monkeypatch.setattr(blocks, "PART_BYTES", 1 << 14)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert count_blocks(docs.select(F.lower("text").alias("tok")), 2).rdd.getNumPartitions() == -(-os.path.getsize("/root/testdata/sf0.001/documents.parquet") // (1 << 14))
+
+
+def test_vertical_files_are_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(stored, "FILE_BYTES", 1 << 14)
+    assert len(spark.read.text(stored._vertical(spark, "/root/testdata/sf0.001")).inputFiles()) > spark.sparkContext.defaultParallelism
+
+
+def test_built_stop_strings_and_prefixes(spark, tmp_path):
+    (tmp_path / "v").write_text("<doc>\nthe\ntree\nof\ntrees\n</doc>\n<doc>\ntree\nof\n</doc>\n")
+    conf = lambda **more: BuildConf(f"{tmp_path}/v", "vertical", **more)
+    assert rows_of(build.ngrams(spark, conf(stop=["the"]), 2), 2) == {("tree", "of"): (2,), ("of", "trees"): (1,)}
+    assert rows_of(build.ngrams(spark, conf(match_prefix=["tr"]), 2), 2) == {("tree", "of"): (2,)}
